@@ -14,7 +14,8 @@ KEY = ["malformed", "producer", "number"]
 
 
 class _SeenRanges(Scan):
-    """State: the last identifier and where its range of seen numbers begins.
+    """State: the last identifier, where its range of seen numbers begins, the first identifier of a partition scanned on
+    its own, and whether its first range never closed.
 
     In the order of producer and number, then of arrival, the seen ranges of a producer are met one after the other: a
     number is accepted if the open range doesn't reach it yet, extends that range if it is the next one, and opens a
@@ -37,8 +38,8 @@ class _SeenRanges(Scan):
         low = pair[:-1, 1] + one
         after[1:] = (pair[1:, 1] == low) & (pair[1:, 0] == pair[:-1, 0] + (low == 0).astype(np.uint64))
         after[1:] &= ~differs(column(batch, "producer"))
-        if state is not None and not state[0][0] and not malformed[0]:
-            after[0] = state[0][1] == first_key[1] and int.from_bytes(state[0][2], "big") + 1 == int.from_bytes(first_key[2], "big")
+        if state is not None:
+            after[0] = _next(state[0], first_key)
         opens = fresh & (malformed | ~after)
         at = last_index(opens)
         begin = number.take(pa.array(np.maximum(at, 0)))
@@ -48,15 +49,20 @@ class _SeenRanges(Scan):
             [column(batch, "row_id"), column(batch, "malformed"), column(batch, "producer").cast(pa.string()), number.cast(pa.binary()), pa.array(fresh), begin.cast(pa.binary())],
             names=["row_id", "malformed", "producer", "number", "accepted", "range_from"],
         )
-        return (key_of(batch, KEY, n - 1), begin[n - 1].as_py(), bool(opens.any())), out
+        head, single = (first_key, not opens[1:].any()) if state is None else (state[2], state[3] and not opens.any())
+        return (key_of(batch, KEY, n - 1), begin[n - 1].as_py(), head, bool(single)), out
 
     def merge(self, carry, local):
-        """A partition whose first range continues the carried one and never closes keeps the carried beginning."""
-        if local[2] and (local[1] != carry[0][2] or local[0] != carry[0]):
-            follows = not carry[0][0] and not local[0][0] and carry[0][1] == local[0][1] and local[1] is not None and carry[0][2] is not None
-            if not (follows and int.from_bytes(local[1], "big") - int.from_bytes(carry[0][2], "big") in (0, 1)):
-                return local
-        return local[0], carry[1], True
+        last, begin, head, single = local
+        goes_on = single and (head == carry[0] or _next(carry[0], head))
+        return last, carry[1] if goes_on else begin, None, False
+
+
+def _next(key: tuple, other: tuple) -> bool:
+    """Is other the next number of the same producer?"""
+    if key[0] or other[0] or key[1] != other[1]:
+        return False
+    return int.from_bytes(key[2], "big") + 1 == int.from_bytes(other[2], "big")
 
 
 def accept(rows: DataFrame, number: str = "read_id", producer: str = "run_info", arrived: str = "received_at", row: str = "row_id") -> DataFrame:
