@@ -26,6 +26,8 @@ Q = 16
 HALF_BAND = 48
 #: Part of a passage, and words, that make a leak ("about half of it or more, 30 words at least").
 PART, LEAST_WORDS = 0.4, 30
+#: Words that an altered end of a copied passage may cost in the alignment.
+END = 2
 #: Of the q-grams of the smallest leak, the part that its edits may destroy.
 EDIT_BUDGET = 0.72
 #: Items held against the corpus at once; more are taken in several passes.
@@ -215,7 +217,7 @@ def search(docs: list[tuple[int, list[np.ndarray]]], ix: Index) -> list[tuple[in
     if not len(which):
         return []
     words = align(texts, which, item, low, ix)
-    enough = words >= np.maximum(LEAST_WORDS, np.ceil(PART * ix.n_words[item]))
+    enough = words >= np.maximum(LEAST_WORDS - END, np.ceil(PART * ix.n_words[item]))
     best: dict[tuple[int, int], int] = {}
     for w, i, n in zip(which[enough].tolist(), item[enough].tolist(), words[enough].tolist(), strict=True):
         key = (owner[w], int(ix.item_ids[i]))
