@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import END_REASONS
 from .ordered_scan import Scan, ordered_scan
 
 #: Fields of the consistent table and their types.
@@ -186,10 +187,6 @@ def found_changes(exports: DataFrame) -> DataFrame:
     return schema_changes(exports).filter("change_kind <> 'first'").select("file_id", "field_name", "change_kind")
 
 
-#: Names of end reasons by their number, as the reads table counts them.
-END_REASONS = ["unknown", "mux_change", "unblock_mux_change", "data_service_unblock_mux_change", "signal_positive", "signal_negative", "api_request", "device_data_error", "analysis_config_change", "paused"]
-
-
 def conform(value: object, kind: str, name: str = "") -> tuple[object, bool]:
     """The value cast to a field's type, and whether it could be."""
     if value is None:

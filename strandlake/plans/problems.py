@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import compact, delivery, drift, intervals, orphans, spikes
 from ..session import checkpoint, table, work_path
@@ -94,4 +93,3 @@ SELECT acquisition_id, channel, well, min(s) AS period_start, max(e) AS period_e
     }
 
 
-_ = F
