@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -88,27 +90,30 @@ def decode_array(packed: pa.Array, counts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(~np.array(valid, bool)))
 
 
-@F.arrow_udf("binary")
-def _encode(signal: pa.Array) -> pa.Array:
-    return encode_array(signal)
+@cache
+def _functions() -> tuple:
+    """Made once, when a session is there."""
+
+    def pack(signal: pa.Array) -> pa.Array:
+        return encode_array(signal)
 
+    def unpack(packed: pa.Array, counts: pa.Array) -> pa.Array:
+        return decode_array(packed, counts)
 
-@F.arrow_udf("array<smallint>")
-def _decode(packed: pa.Array, counts: pa.Array) -> pa.Array:
-    return decode_array(packed, counts)
+    return F.arrow_udf(pack, "binary"), F.arrow_udf(unpack, "array<smallint>")
 
 
 def vbz_encode(signal: Column | str) -> Column:
-    return _encode(signal)
+    return _functions()[0](signal)
 
 
 def vbz_decode(packed: Column | str, samples: Column | str) -> Column:
-    return _decode(packed, samples)
+    return _functions()[1](packed, samples)
 
 
 def register(spark: SparkSession) -> None:
     """vbz_encode and vbz_decode, uuid_str and uuid_bin for SQL."""
-    spark.udf.register("vbz_encode", _encode)
-    spark.udf.register("vbz_decode", _decode)
+    spark.udf.register("vbz_encode", _functions()[0])
+    spark.udf.register("vbz_decode", _functions()[1])
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION uuid_str(b BINARY) RETURNS STRING RETURN CASE WHEN length(b) = 16 THEN regexp_replace(lower(hex(b)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '$1-$2-$3-$4-$5') END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION uuid_bin(t STRING) RETURNS BINARY RETURN CASE WHEN regexp_replace(regexp_replace(t, '^[{](.*)[}]$', '$1'), '-', '') RLIKE '^[0-9A-Fa-f]{32}$' THEN unhex(regexp_replace(regexp_replace(t, '^[{](.*)[}]$', '$1'), '-', '')) END")
