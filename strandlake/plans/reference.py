@@ -49,7 +49,7 @@ _U = r"regexp_replace(lower(hex({})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}}
 _DIGITS = r"lower(regexp_replace(regexp_replace(read_id, '^\{(.*)\}$', '\1'), '-', '', 'g'))"
 _VALID = f"regexp_full_match({_DIGITS}, '[0-9a-f]{{32}}')"
 _STRICT = "regexp_full_match(read_id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')"
-_NN = "nullif({0}, 'nan'::FLOAT) AS {0}".format
+_NN = "CASE WHEN isfinite({0}) THEN {0} END AS {0}".format
 _NOT_SET = "CASE WHEN length({0}) = 0 THEN 'not_set' ELSE {0} END AS {1}".format
 _FLOATS = ["median_before", "predicted_scaling_scale", "predicted_scaling_shift", "tracked_scaling_scale", "tracked_scaling_shift"]
 
@@ -402,7 +402,7 @@ def columns_v3(spark, sf):
     return table(spark, sf, "read_rows").select("row_id", *[special.get(c, F.col(c)) for c in kept])
 
 
-@_query("SELECT row_id, round(median_before::DOUBLE, 3) AS median_before FROM read_rows WHERE median_before <> 'nan'::FLOAT")
+@_query("SELECT row_id, round(median_before::DOUBLE, 3) AS median_before FROM read_rows WHERE isfinite(median_before)")
 def rounded_levels(spark, sf):
     return table(spark, sf, "read_rows").filter("median_before IS NOT NULL AND NOT isnan(median_before)").select("row_id", records.fixed("median_before", 3).cast("double").alias("median_before"))
 
