@@ -110,8 +110,8 @@ def select_missing(spark, sf):
     return select.missing(table(spark, sf, "read_rows"), chosen).select(ids.uuid_str("read_id").alias("read_id"))
 
 
-@_query(f"""WITH {_BAG}, firsts AS (SELECT batch_id, read_id, arg_min(read_number, row_id) AS read_number, arg_min(num_samples, row_id) AS num_samples FROM read_rows GROUP BY 1, 2)
-SELECT {_U('read_id')} AS read_id, read_number, num_samples FROM firsts JOIN bag ON id = read_id""")
+@_query(f"""WITH {_BAG}, firsts AS (SELECT min(row_id) AS row_id FROM read_rows GROUP BY batch_id, read_id)
+SELECT {_U('read_id')} AS read_id, read_number, num_samples FROM firsts JOIN read_rows USING (row_id) JOIN bag ON id = read_id""")
 def selected_read_numbers(spark, sf):
     chosen = select.pack_ids(table(spark, sf, "file_records").select("read_id"))
     rows = table(spark, sf, "read_rows").select("batch_id", "row_id", "read_id", "read_number", "num_samples")
