@@ -78,13 +78,15 @@ class LostRecords(RuntimeError):
 def compact(spark: SparkSession, records: DataFrame, target: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Writes the kept records, with all their columns, to target as one sorted file per acquisition and out_file.
 
+    Columns of the records named keep or out_file are written as keep_in and out_file_in. record_id must be unique.
+
     What stood at target is replaced only after the counts agree: records in = kept + left out, and the written rows are
     the kept ones, by acquisition and file. Returns the manifest: acquisition_id, out_file, n_records, n_bytes."""
     plan = checkpoint(placed_records(records, target_bytes))
     kept = plan.filter("keep")
     n_in, n_plan = records.count(), plan.count()
     columns = [c for c in records.columns if c not in ("acquisition_id", "read_id", "n_bytes", "record_id")]
-    rest = records.select(F.col("record_id").cast("long").alias("record_id"), *columns)
+    rest = records.select(F.col("record_id").cast("long").alias("record_id"), *[F.col(c).alias(f"{c}_in" if c in plan.columns else c) for c in columns])
     full = kept.drop("keep").join(rest, "record_id")
     staging = work_path(spark, "compact-staging")
     by = ["acquisition_id", "out_file"]
@@ -93,9 +95,10 @@ def compact(spark: SparkSession, records: DataFrame, target: str, target_bytes:
     manifest = checkpoint(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.coalesce("n_bytes", F.lit(0))).alias("n_bytes")))
     there = written.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     wrong = manifest.join(there, (manifest.acquisition_id.eqNullSafe(there.acquisition_id)) & (manifest.out_file == there.out_file), "full").filter("NOT (n <=> n_records)")
-    if n_in != n_plan or not wrong.isEmpty():
+    differing = wrong.limit(5).collect()
+    if n_in != n_plan or differing:
         remove(spark, staging)
-        raise LostRecords(f"{n_in} records were read and {n_plan} placed; files that differ: {wrong.limit(5).collect()}")
+        raise LostRecords(f"{n_in} records were read and {n_plan} placed; files that differ: {differing}")
     old = target + ".old"
     remove(spark, old)
     if exists(spark, target) and not rename(spark, target, old):

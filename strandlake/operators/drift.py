@@ -203,9 +203,10 @@ def conform(value: object, kind: str, name: str = "") -> tuple[object, bool]:
         number = float(value)
         if kind == "float":
             return number, True
-        whole = value if isinstance(value, int) else int(value) if isinstance(value, str) and re.fullmatch(r"\s*[+-]?\d+\s*", value) else int(number)
+        exact = isinstance(value, int) or (isinstance(value, str) and re.fullmatch(r"\s*[+-]?\d+\s*", value))
+        whole = int(value) if exact else int(number)
         limit = {"short": 15, "int": 31, "long": 63}[kind]
-        return (whole, True) if whole == number and -(1 << limit) <= whole < 1 << limit else (None, False)
+        return (whole, True) if (exact or whole == number) and -(1 << limit) <= whole < 1 << limit else (None, False)
     except (ValueError, KeyError, OverflowError, TypeError):
         return None, False
 

@@ -12,7 +12,7 @@ The sorted rows are checkpointed in between, so both passes see the same partiti
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
+#: Column of the sorted rows that holds the number of their partition.
+PARTITION = "_partition"
+
 
 class Scan:
     """What an ordered scan does. States must be picklable and small: they don't grow with the rows."""
@@ -41,30 +44,31 @@ class Scan:
 
 def ordered_scan(df: DataFrame, order: list[Any], scan: Scan) -> DataFrame:
     """Runs scan over df in the order of the columns given; the rows that are given out keep no particular order."""
-    ordered = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # a task's own number isn't that of the partition where the scan stands in a union: the rows say it
+    ordered = checkpoint(ordered.withColumn(PARTITION, F.spark_partition_id()))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, seen = None, False
+        state, pid = None, None
         for batch in batches:
             if batch.num_rows:
-                state, seen = scan.step(state, batch)[0], True
-        if seen:
-            yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps(state)], pa.binary())})
+                state, pid = scan.step(state, batch)[0], column(batch, PARTITION)[0].as_py()
+        if pid is not None:
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "state": pa.array([pickle.dumps(state)], pa.binary())})
 
-    found = ordered.select("*").mapInArrow(summarise, "state binary").select(F.spark_partition_id().alias("pid"), "state").collect()
     carried, carry = {}, None
-    for pid, state in sorted((row.pid, row.state) for row in found):
+    for pid, state in sorted(tuple(row) for row in ordered.mapInArrow(summarise, "pid int, state binary").collect()):
         if carry is not None:
             carried[pid] = pickle.dumps(carry)
         carry = pickle.loads(state) if carry is None else scan.merge(carry, pickle.loads(state))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        state = carried.get(TaskContext.get().partitionId())
-        state = pickle.loads(state) if state else None
+        state, begun = None, False
         for batch in batches:
             if batch.num_rows:
+                if not begun and (before := carried.get(column(batch, PARTITION)[0].as_py())):
+                    state = pickle.loads(before)
+                begun = True
                 state, out = scan.step(state, batch)
                 if out is not None and out.num_rows:
                     yield out
@@ -115,5 +119,3 @@ def last_index(flag: np.ndarray) -> np.ndarray:
 def ints(values: pa.Array, null: int = 0) -> np.ndarray:
     return np.asarray(values.cast(pa.int64()).fill_null(null))
 
-
-Row = Callable[..., Any]

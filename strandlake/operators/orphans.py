@@ -27,8 +27,9 @@ DAY_US = 86_400_000_000
 def dictionary(keys: DataFrame) -> DataFrame:
     """Dense integers (from 0) for the distinct values of the only column: value, key_id."""
     name = keys.columns[0]
-    ordered = checkpoint(keys.dropna().distinct().select(F.col(name).alias("value")).sortWithinPartitions("value"))
-    placed = ordered.select("value", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    ordered = keys.dropna().distinct().select(F.col(name).alias("value")).sortWithinPartitions("value")
+    # kept with their places: partitions are numbered otherwise where this stands in a union
+    placed = checkpoint(ordered.select("value", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
     sizes = dict(placed.groupBy("pid").count().collect())  # one row a partition
     offsets, total = [0] * (max(sizes, default=0) + 1), 0
     for pid in range(len(offsets)):
@@ -140,7 +141,7 @@ def orphan_references(reads: DataFrame, signal: DataFrame, run_info: DataFrame)
     runs = runs.join(small, "value").select("ref_field", "key_id", "row_id", "received_at")
     parents = parents.join(small, "value").select(F.lit("run_info").alias("ref_field"), "key_id", "received_at", "deleted_at")
     stored = signal.filter("row_no IS NOT NULL").select(F.lit("signal").alias("ref_field"), F.col("row_no").cast("long").alias("key_id"), "received_at", "deleted_at")
-    found = dangling(reference_events(runs.unionByName(chunks)), target_events(parents.unionByName(stored)))
+    found = checkpoint(dangling(reference_events(runs.unionByName(chunks)), target_events(parents.unionByName(stored))))
     named = found.filter("ref_field = 'run_info'").join(small, "key_id").select("ref_field", "row_id", F.col("value").alias("ref_key"))
     return named.unionByName(found.filter("ref_field = 'signal'").select("ref_field", "row_id", F.col("key_id").cast("string").alias("ref_key")))
 

@@ -70,8 +70,8 @@ def at_places(reads: DataFrame, batches: list[int] | None = None, rows: list[int
 def bucketed(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Numbers rows in the order, and gives each the number of its bucket of so many rows. Partition sizes are counted
     once, so no window over all rows is needed."""
-    ordered = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpoint(ordered.withColumns({"_pid": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = dict(placed.groupBy("_pid").count().collect())  # one row a partition
     before, total = [], 0
     for pid in range(max(sizes, default=0) + 1):
