@@ -149,7 +149,8 @@ def orphan_references(reads: DataFrame, signal: DataFrame, run_info: DataFrame)
 def orphans_by_month(orphans: DataFrame, reads: DataFrame) -> DataFrame:
     """Counts of orphan references for each referenced table and month of received_at (null: time unknown)."""
     per_row = orphans.groupBy("row_id", "ref_field").agg(F.count(F.lit(1)).alias("n"))
-    months = reads.select("row_id", F.date_format("received_at", "yyyy-MM").alias("month"))
+    day = F.date_from_unix_date(F.expr(f"floor(unix_micros(received_at) / {DAY_US}D)").cast("int"))  # in UTC whatever the session's zone
+    months = reads.select("row_id", F.date_format(day, "yyyy-MM").alias("month"))
     joined = per_row.join(months, "row_id")
     name = F.when(F.col("ref_field") == "run_info", "run_info").otherwise("signal_rows").alias("ref_table")
     return joined.groupBy(name, "month").agg(F.sum("n").cast("long").alias("n_orphans"))

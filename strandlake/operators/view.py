@@ -98,21 +98,21 @@ class AmbiguousAcquisition(ValueError):
     """An acquisition_id with several differing rows."""
 
 
-def conflicting_acquisitions(run_info: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """acquisition_id and number of distinct rows, where there is more than one."""
+def conflicting_acquisitions(run_info: DataFrame, columns: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """acquisition_id (and what else is counted by) and number of distinct rows, where there is more than one."""
     columns = [c for c in (columns or run_info.columns) if c not in ("acquisition_id", "_file")]
     plain = [F.array_sort(F.map_entries(c)) if dict(run_info.dtypes)[c].startswith("map") else F.col(c) for c in columns]
     rows = F.countDistinct(F.to_json(F.struct(*[p.alias(c) for p, c in zip(plain, columns, strict=True)]))) if columns else F.lit(1)
-    return run_info.groupBy("acquisition_id").agg(rows.alias("n_rows")).filter("n_rows > 1")
+    return run_info.groupBy(*by, "acquisition_id").agg(rows.alias("n_rows")).filter("n_rows > 1")
 
 
 def join_run_info(reads: DataFrame, run_info: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
     """Inner join of reads to the distinct rows of run information, per file where both sides name files.
 
     strict raises AmbiguousAcquisition if an acquisition's rows differ in the columns; else each is joined."""
-    if strict and (bad := conflicting_acquisitions(run_info, columns).limit(3).collect()):
-        raise AmbiguousAcquisition(f"acquisitions with differing rows: {bad}")
     by_file = "_file" in reads.columns and "_file" in run_info.columns
+    if strict and (bad := conflicting_acquisitions(run_info, columns, ("_file",) if by_file else ()).limit(3).collect()):
+        raise AmbiguousAcquisition(f"acquisitions with differing rows: {bad}")
     dimension = checkpoint(run_info.select(*(["_file"] if by_file else []), F.col("acquisition_id").alias("_acquisition"), *[c for c in columns if c != "acquisition_id"]).distinct())
     side = broadcast_if_small(dimension.withColumnRenamed("_file", "_info_file"))
     on = reads["run_info"] == side["_acquisition"]

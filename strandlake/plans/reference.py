@@ -11,8 +11,9 @@ from .. import codec
 from ..functions import ids, records
 from ..functions import signal as sig
 from ..operators import aggregate, merge, migrate, route, select, signal, view
-from ..schema import READS_V3
-from ..session import table
+from ..schema import READS_V3, RUN_INFO_COLUMNS
+from ..session import broadcast_if_small, checkpoint, table, work_path
+from ..sources.container import ReadStore, write
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -407,6 +408,20 @@ def rounded_levels(spark, sf):
     return table(spark, sf, "read_rows").filter("median_before IS NOT NULL AND NOT isnan(median_before)").select("row_id", records.fixed("median_before", 3).cast("double").alias("median_before"))
 
 
+@_query(f"""WITH refs AS (SELECT row_id, unnest(signal) AS row_no FROM read_rows), sums AS (SELECT row_id, sum(len(s.signal))::BIGINT AS n, sum(list_sum(s.signal))::BIGINT AS total FROM refs JOIN signal_rows s USING (row_no) WHERE s.signal IS NOT NULL GROUP BY row_id)
+SELECT {_U('read_id')} AS read_id, read_number, coalesce(n, 0) AS num_samples, coalesce(total, 0) AS signal_sum FROM read_rows LEFT JOIN sums USING (row_id) WHERE run_info IN (SELECT acquisition_id FROM run_info)""")
+def container_round_trip(spark, sf):
+    """Reads written as containers into the shared folder, and read from there again."""
+    reads = table(spark, sf, "read_rows")
+    whole = signal.reassemble(reads.select("row_id", "signal"), _signal(spark, sf), ["row_id"]).drop("complete")
+    info = checkpoint(_info(spark, sf).select(*RUN_INFO_COLUMNS).dropDuplicates(["acquisition_id"]))
+    info = broadcast_if_small(info.select(F.col("acquisition_id").alias("_a"), F.struct(*RUN_INFO_COLUMNS).alias("info")))
+    path = work_path(spark, "containers")
+    write(reads.drop("signal").join(whole, "row_id").join(info, F.col("run_info") == F.col("_a")), path)
+    stored = ReadStore(spark, path).complete(decode=True)
+    return stored.select(ids.uuid_str("read_id").alias("read_id"), "read_number", "num_samples", sig.signal_sum("signal").alias("signal_sum"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
