@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,21 +32,26 @@ RENAMES = {
     4: {"pore_kind": "pore_type", "mux": "well"},
     5: {"median_before_pa": "median_before", "read_end_reason": "end_reason", "end_reason.name": "end_reason", "end_reason.forced": "end_reason_forced", "calibration.offset": "calibration_offset", "calibration.scale": "calibration_scale"},
 }
-_RENAMED = {old: new for step in RENAMES.values() for old, new in step.items()}
 _PLAIN = {re.sub(r"[^a-z0-9]", "", f): f for f in FIELDS}
 
 WHOLE, DECIMAL, TEXT, OTHER = "whole", "decimal", "text", "other"
 
 
+def chained(name: str) -> str:
+    """A key after all migration steps in their order."""
+    for step in sorted(RENAMES):
+        name = RENAMES[step].get(name, name)
+    return name
+
+
+@lru_cache(maxsize=10_000)
 def field_of(path: str) -> str | None:
     """The field that a key (with dots between the names of nested objects) holds, None if it is none that is known.
 
     In turn: the field's own name, the renames, the last name of a nested key, and the same name in another spelling."""
     for name in (path, path.rpartition(".")[2]):
-        if name in FIELDS:
-            return name
-        if name in _RENAMED:
-            return _RENAMED[name]
+        if chained(name) in FIELDS:
+            return chained(name)
         plain = re.sub(r"[^a-z0-9]", "", name.lower())
         if plain in _PLAIN:
             return _PLAIN[plain]

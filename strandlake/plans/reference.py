@@ -415,7 +415,7 @@ def container_round_trip(spark, sf):
     reads = table(spark, sf, "read_rows")
     whole = signal.reassemble(reads.select("row_id", "signal"), _signal(spark, sf), ["row_id"]).drop("complete")
     info = checkpoint(_info(spark, sf).select(*RUN_INFO_COLUMNS).dropDuplicates(["acquisition_id"]))
-    info = broadcast_if_small(info.select(F.col("acquisition_id").alias("_a"), F.struct(*RUN_INFO_COLUMNS).alias("info")))
+    info = broadcast_if_small(info.select(F.col("acquisition_id").alias("_a"), F.struct(*RUN_INFO_COLUMNS).alias("info")), 20_000)
     path = work_path(spark, "containers")
     write(reads.drop("signal").join(whole, "row_id").join(info, F.col("run_info") == F.col("_a")), path)
     stored = ReadStore(spark, path).complete(decode=True)

@@ -382,7 +382,7 @@ class ReadStore:
             made = F.coalesce(F.transform("p", lambda x: F.struct(x["signal"].alias("packed"), x["samples"].alias("samples"))), F.array().cast("array<struct<packed:binary,samples:bigint>>")).alias("chunks")
         info = self.run_info().dropDuplicates(["_file", "acquisition_id"]).drop("_batch", "_row")
         info = checkpoint(info.select(F.col("_file").alias("_f"), F.col("acquisition_id").alias("_a"), F.struct(*[c for c in info.columns if c != "_file"]).alias("info")))
-        joined = reads.drop("signal").join(ordered, keys, "left").join(broadcast_if_small(info), (F.col("_f") == F.col("_file")) & (F.col("_a") == F.col("run_info")), "left")
+        joined = reads.drop("signal").join(ordered, keys, "left").join(broadcast_if_small(info, 20_000), (F.col("_f") == F.col("_file")) & (F.col("_a") == F.col("run_info")), "left")
         return joined.select(*[c for c in reads.columns if c not in ("signal", *keys)], made, "info", *keys)
 
 
