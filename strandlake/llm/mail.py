@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-_HEADERS = re.compile(r"(?:From [^\n]*\n)?(?:[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t][^\n]*)*(?:\n|\Z))+")
+_HEADERS = re.compile(r"(?:(?:>?From [^\n]*|[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t][^\n]*)*)(?:\n|\Z))+")
 _TYPE = re.compile(r"^content-type:\s*([\w.+/-]+)", re.I | re.M)
 _BOUNDARY = re.compile(r"boundary\s*=\s*(?:\"([^\"]+)\"|([^\s;]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)

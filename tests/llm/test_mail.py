@@ -18,6 +18,11 @@ def test_encodings():
     assert mail.all_texts(wrap(base64.b64encode("é".encode("latin-1")).decode(), "Content-Type: text/plain; charset=nonsense\nContent-Transfer-Encoding: base64"))
 
 
+def test_headers():
+    assert mail.split_headers("Delivered-To: x\nFrom a@b Mon, 1 Jan 2025\nSubject: y\n z\n\nbody") == ("Delivered-To: x\nFrom a@b Mon, 1 Jan 2025\nSubject: y\n z\n", "body")
+    assert mail.split_headers("No header: but\na text") == ("", "No header: but\na text") and mail.split_headers("A: b\n") == ("A: b\n", "")
+
+
 def test_multipart_whole_and_cut_off():
     parts = f"--B1\nContent-Type: text/plain\n\n{TEXT}\n--B1\nContent-Type: text/csv\nContent-Disposition: attachment\n\na,b\n"
     for end in ("--B1--\n", "", "--B"):
