@@ -64,6 +64,25 @@ def test_codec_round_trip(samples):
     assert (codec.decode_chunks(parts, counts) == x).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.integers(-32768, 32767), max_size=40)), max_size=12), st.integers(1, 60))
+def test_many_chunks_as_one_by_one(chunks, slice_):
+    import pyarrow as pa
+
+    codec.SLICE, before = slice_, codec.SLICE
+    try:
+        packed = codec.encode_array(pa.array(chunks, pa.list_(pa.int16())))
+        assert packed.to_pylist() == [None if c is None else codec.encode(np.array(c, np.int16)) for c in chunks]
+        back = codec.decode_array(packed, pa.array([None if c is None else len(c) for c in chunks], pa.int64()))
+        assert back.to_pylist() == chunks
+        for k, c in enumerate(chunks):
+            if c:
+                with pytest.raises(codec.CorruptSignal):
+                    codec.decode_array(packed, pa.array([None if x is None else len(x) + (j == k) * 9 for j, x in enumerate(chunks)], pa.int64()))
+    finally:
+        codec.SLICE = before
+
+
 def test_codec_layout():
     """Keys first, a bit a sample from the lowest on, then a byte or two each: 1 -> 2, 300 after it -> 598, -1 after it -> 601."""
     import zstandard
