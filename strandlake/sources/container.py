@@ -245,7 +245,9 @@ class ContainerWriter(DataSourceArrowWriter):
         current, file, done, reads, seen = None, None, [], 0, set()
         try:
             for batch in iterator:
-                for row in batch.to_pylist():
+                infos = batch.column("info")
+                given = infos.is_valid().to_pylist()
+                for k, row in enumerate(batch.drop_columns(["info"]).to_pylist()):
                     dest = row.pop("dest", None) or single
                     if dest != current:
                         if file:
@@ -258,8 +260,9 @@ class ContainerWriter(DataSourceArrowWriter):
                         os.makedirs(os.path.dirname(final), exist_ok=True)
                         file = form.ContainerFile(hidden, self.options.get("encoding", "vbz") == "vbz", *(int(self.options.get(k, v)) for k, v in (("chunksize", 102_400), ("readsbatch", 1000), ("signalbatch", 100))))
                         done.append((hidden, final))
-                    info, signal, chunks = row.pop("info"), row.pop("signal", None), row.pop("chunks", None)
-                    info = info and info | {c: dict(info[c]) if isinstance(info.get(c), list) else info.get(c) for c in ("context_tags", "tracking_id")}
+                    signal, chunks = row.pop("signal", None), row.pop("chunks", None)
+                    # a file's run information is few rows, so it is unpacked once each
+                    info = (file.infos.get(row["run_info"]) or infos[k].as_py()) if given[k] else None
                     file.add(row, info, signal, None if chunks is None else [(c["packed"], c["samples"]) for c in chunks])
                     reads += 1
             if file:
