@@ -117,12 +117,24 @@ _FORWARDED = re.compile(r"^[ \t]*-{3,} ?(?:original message|forwarded message|ur
 _ATTRIBUTION = re.compile(r"^(?:[^\n]*(?:\n[^\n]*)?\b(?:wrote|schrieb|écrit|escribió)\b[^\n]{0,80}:|[^\n]*(?:пише|написав|писав|さんは書きました)[^\n]{0,60}[:：])[ \t]*(?:\n|\Z)", re.M)
 _SIGNATURE = re.compile(r"^(?:--|_{5,}|-{5,}|\*{5,}|={5,})[ \t]*(?:\n|\Z)(?s:.*)", re.M)
 _DISCLAIMER = re.compile(r"confidential|by mistake|must not copy|meant only for|as private to|delete it|not the intended|privileged", re.I)
-_LISTED = re.compile(r"^[ \t]*(?:[-*•–+o] |\d{1,3}[.)] |\d{4}-\d\d-\d\d[ T]\d\d:|[A-Za-z0-9_ .-]*[,;\t|][^\n]*[,;\t|][^\n]*\d\s*$)")
+_LISTED = re.compile(r"[ \t]*(?:[-*•–+o] |\d{1,3}[.)] |\d{4}-\d\d-\d\d[ T]\d\d:)")
+_SEPARATOR = re.compile(r"[,;\t|]")
+_CELL = re.compile(r"[A-Za-z0-9_ .-]*")
 _GREETING = re.compile(r"^[ \t]*(?:(?:hi|hello|hey|dear|good (?:morning|afternoon|evening)|hallo|guten tag)\b[^\n.]{0,50}|\w[\w'’]*(?: [\w'’]+){0,2})[ ]?(?:,|!|:|-|–)?[ \t]*$", re.I)
 _CLOSING = re.compile(r"^(?:best|kind|warm|many)?[ \t]*(?:regards|wishes|cheers|thanks|thank you|sincerely|yours\b.*)[ \t]*[,.!]?$", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
+def _listed(line: str) -> bool:
+    """An item of a list, a line of a log, or a row of a table (cells between separators, the last one a number)."""
+    if _LISTED.match(line):
+        return True
+    if not line.rstrip()[-1:].isdigit():
+        return False
+    at = _SEPARATOR.search(line)
+    return bool(at and _CELL.fullmatch(line, 0, at.start()) and _SEPARATOR.search(line, at.end()))
+
+
 def own_prose(text: str | None) -> str:
     """The author's own prose: of the first text that isn't attached, without quoted and forwarded mail, greetings,
     signature, disclaimers, log lines and lists. Empty for null and empty texts."""
@@ -148,7 +160,7 @@ def own_prose(text: str | None) -> str:
     for paragraph in re.split(r"\n[ \t]*\n", body):
         if _DISCLAIMER.search(paragraph):
             continue
-        lines = [x for x in paragraph.split("\n") if x.strip() and not _LISTED.match(x)]
+        lines = [x for x in paragraph.split("\n") if x.strip() and not _listed(x)]
         if not kept and lines and _GREETING.match(lines[0]) and len(lines[0].split()) <= 6:
             lines = lines[1:]
         if lines and _CLOSING.match(lines[-1].strip()):

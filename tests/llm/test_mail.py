@@ -38,6 +38,9 @@ def test_degenerate():
     for k in range(60):
         nested = f"Content-Type: multipart/mixed; boundary=b{k}\n\n--b{k}\n{nested}\n--b{k}--\n"
     assert len(mail.all_texts(nested)) == 1
+    for long in ("word " * 300_000, "a, b; " * 200_000, "> " * 200_000 + "x", "<b" * 200_000, " " * 500_000 + "x", "Hi " * 200_000, "\n" * 300_000 + "x", "-" * 300_000, "wrote: " * 100_000):
+        mail.own_prose(wrap(long)), mail.all_texts(wrap(long)), mail.own_prose(wrap(long, "Content-Type: text/html"))
+        mail.own_prose(long), mail.all_texts(long)
     assert len(mail.own_prose(wrap("word " * 300_000))) > 1_000_000
 
 
