@@ -232,3 +232,34 @@ def test_incremental_appends(spark, tmp_path):
     query = incremental.rates(stream, "received_at", "5 seconds", "1 minute", ["run_info"]).writeStream.format("memory").outputMode("complete").queryName("rates").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n_reads) FROM rates").first()[0] == 25
+
+
+def test_repacker_and_differences(spark, tmp_path):
+    from strandlake.operators.merge import DuplicateReads
+    from strandlake.sources.repack import Repacker, differences
+
+    make(tmp_path / "a.container", range(20))
+    make(tmp_path / "b.container", range(20, 25))
+    a, b = ReadStore(spark, f"{tmp_path}/a.container"), ReadStore(spark, f"{tmp_path}/b.container")
+    job = Repacker(spark)
+    whole, part = job.add_output(f"{tmp_path}/whole.container"), job.add_output(f"{tmp_path}/part.container", encoding="plain")
+    job.add_all(whole, a)
+    job.add_all(whole, b)
+    job.add_selected(part, a, spark.createDataFrame([(k.to_bytes(16, "big"),) for k in (3, 5)], "i binary"))
+    assert job.finish() == {f"{tmp_path}/whole.container": 25, f"{tmp_path}/part.container": 2}
+    both = ReadStore(spark, [f"{tmp_path}/a.container", f"{tmp_path}/b.container"])
+    assert differences(both, ReadStore(spark, f"{tmp_path}/whole.container")).count() == 0
+    assert rows(differences(a, ReadStore(spark, f"{tmp_path}/part.container")).select(F.col("fields")[0])) == [("read",)] * 18
+    edited = a.complete(decode=True).withColumn("channel", F.when(F.col("read_number") == 4, 9).otherwise(F.col("channel"))).withColumn("signal", F.when(F.col("read_number") == 6, F.array(F.lit(1).cast("smallint"))).otherwise(F.col("signal")))
+    write(edited, f"{tmp_path}/edited")
+    found = dict(rows(differences(a, ReadStore(spark, f"{tmp_path}/edited")).select(F.hex("read_id"), "fields")))
+    assert found == {f"{4:032X}": ["channel"], f"{6:032X}": ["num_samples", "signal"]}
+    twice = Repacker(spark)
+    out = twice.add_output(f"{tmp_path}/twice.container")
+    twice.add_all(out, a)
+    twice.add_all(out, a)
+    with pytest.raises(DuplicateReads):
+        twice.finish()
+    assert not os.path.exists(tmp_path / "twice.container")
+    with pytest.raises(FileExistsError):
+        Repacker(spark).add_output(f"{tmp_path}/a.container")
