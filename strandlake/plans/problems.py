@@ -80,8 +80,26 @@ _KEPT = f"""keyed AS (SELECT record_id, {_ACQ.format('acquisition_id')} AS acqui
 kept AS (SELECT *, rid IS NOT NULL AND row_number() OVER (PARTITION BY acquisition_id, rid ORDER BY record_id) > 1 AS again FROM keyed)"""
 
 
+_ALIASES = ", ".join(f"('{old}', '{drift.chained(old)}')" for step in drift.RENAMES.values() for old in step) + ", ('pore.pore_type', 'pore_type'), ('pore.well', 'well')"
+_DRIFT = f"""ok AS (SELECT file_id, payload::JSON AS j FROM read_exports WHERE CASE WHEN json_valid(payload) THEN json_type(payload) END = 'OBJECT'),
+top AS (SELECT file_id, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT file_id, j, unnest(json_keys(j)) AS k FROM ok)),
+leaf AS (SELECT file_id, k AS path, v FROM top WHERE json_type(v) <> 'OBJECT' UNION ALL
+  SELECT file_id, k || '.' || n, json_extract(v, '$."' || n || '"') FROM (SELECT file_id, k, v, unnest(json_keys(v)) AS n FROM top WHERE json_type(v) = 'OBJECT')),
+named AS (SELECT file_id, path, coalesce(field, path) AS field, CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT') THEN 'whole' WHEN json_type(v) = 'DOUBLE' THEN 'decimal' WHEN json_type(v) = 'VARCHAR' THEN 'text' END AS kind
+  FROM leaf LEFT JOIN (VALUES {_ALIASES}) m(old, field) ON old = path),
+fields AS (SELECT file_id, field, list_sort(list(DISTINCT path)) AS paths, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) WHEN count(DISTINCT kind) = 0 THEN NULL WHEN count(*) FILTER (kind = 'text') = 0 THEN 'decimal' ELSE 'text' END AS kind FROM named GROUP BY file_id, field),
+files AS (SELECT file_id, lag(file_id) OVER (PARTITION BY producer ORDER BY file_seq, file_id) AS prev FROM (SELECT DISTINCT producer, file_seq, file_id FROM read_exports)),
+news AS (SELECT f.file_id, prev, field, paths, kind FROM files f JOIN fields USING (file_id) WHERE prev IS NOT NULL), olds AS (SELECT f.file_id, field, paths, kind FROM files f JOIN fields o ON o.file_id = f.prev)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": f"""WITH {_DRIFT} SELECT n.file_id, n.field AS field_name, 'added' AS change_kind FROM news n ANTI JOIN olds o ON o.file_id = n.file_id AND o.field = n.field
+UNION ALL SELECT o.file_id, o.field, 'removed' FROM olds o ANTI JOIN news n ON o.file_id = n.file_id AND o.field = n.field
+UNION ALL SELECT n.file_id, n.field, 'renamed' FROM news n JOIN olds o ON o.file_id = n.file_id AND o.field = n.field AND o.paths <> n.paths
+UNION ALL SELECT n.file_id, n.field, 'retyped' FROM news n JOIN olds o ON o.file_id = n.file_id AND o.field = n.field AND o.kind <> n.kind""",
+        "p2_seen_ranges": f"""WITH numbers AS (SELECT DISTINCT {_ACQ.format('run_info')} AS acquisition_id, lower(hex(read_id)) AS h, ('0x' || hex(read_id))::UHUGEINT AS v FROM read_rows WHERE octet_length(read_id) = 16)
+SELECT acquisition_id, min(h) AS range_from, max(h) AS range_to, count(*) AS n_numbers FROM (SELECT *, v - row_number() OVER (PARTITION BY acquisition_id ORDER BY v)::UHUGEINT AS g FROM numbers) GROUP BY acquisition_id, g""",
         "p1_found": f"WITH {_RANGES} SELECT acquisition_id, channel, well, before AS gap_start, s AS gap_end FROM marked WHERE s > before",
         "p1_periods": f"""WITH {_RANGES}, labelled AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY acquisition_id, channel, well ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM marked)
 SELECT acquisition_id, channel, well, min(s) AS period_start, max(e) AS period_end, count(*) AS n_rows FROM labelled GROUP BY acquisition_id, channel, well, island""",
