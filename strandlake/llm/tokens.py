@@ -116,26 +116,20 @@ def _encoding(lines: bytes):
     return _KEPT[key]
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            doc_ids, lengths = batch.column("doc_ids")[row].values, np.asarray(batch.column("lengths")[row].values)
-            raw = zstandard.ZstdDecompressor().decompress(batch.column("places")[row].as_py())
-            places = np.frombuffer(raw, np.uint16 if batch.column("narrow")[row].as_py() else np.uint32).astype(np.int64)
-            coded = batch.column("coded")[row].values  # null where no text of the block has a word
-            if coded is not None and len(coded):
-                order = np.argsort(np.asarray(coded.field("place")))
-                lists = coded.field("ids").take(pa.array(order))
-                flat, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
-            else:
-                flat, size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-            begin = np.cumsum(size) - size
-            n = size[places]
-            ends = np.cumsum(n)
-            out = flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            closes = np.r_[0, ends][np.r_[0, np.cumsum(lengths)]]
-            ids = pa.ListArray.from_arrays(pa.array(closes.astype(np.int32)), pa.array(out.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([doc_ids, ids], names=["doc_id", "ids"])
+def _reassemble(blocks: pa.Table, coded: pa.Table) -> pa.Table:
+    """The ids of a block's texts, from its places and the ids of its words."""
+    doc_ids, lengths = blocks["doc_ids"][0].values, np.asarray(blocks["lengths"][0].values)
+    raw = zstandard.ZstdDecompressor().decompress(blocks["places"][0].as_py())
+    places = np.frombuffer(raw, np.uint16 if blocks["narrow"][0].as_py() else np.uint32)
+    lists = coded["ids"].combine_chunks().take(pa.array(np.argsort(np.asarray(coded["place"]))))
+    flat, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
+    begin = np.cumsum(size) - size
+    n = size[places]
+    ends = np.cumsum(n)
+    out = flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    closes = np.r_[0, ends][np.r_[0, np.cumsum(lengths)]]
+    ids = pa.ListArray.from_arrays(pa.array(closes.astype(np.int32)), pa.array(out.astype(np.int32)))
+    return pa.table({"doc_id": doc_ids, "ids": ids})
 
 
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -145,10 +139,10 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, block_chars: int
     any length are encoded whole; columns besides doc_id and text are left aside."""
     blocks = checkpoint(word_blocks(documents, block_chars))
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    coded = words.join(encode_words(words.select("word"), vocabulary), "word")
-    back = coded.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("coded"))
-    whole = blocks.drop("words").join(back, "block", "left")
-    return whole.select("doc_ids", "lengths", "places", "narrow", "coded").mapInArrow(_reassemble, "doc_id long, ids array<int>")
+    coded = words.join(encode_words(words.select("word"), vocabulary), "word").select(F.col("block").alias("of_block"), "place", "ids")
+    # one block at a time is in a worker's memory
+    both = blocks.drop("words").groupBy("block").cogroup(coded.groupBy("of_block"))
+    return both.applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
