@@ -23,6 +23,9 @@ class _SeenRanges(Scan):
 
     schema = "row_id long, malformed boolean, producer string, number binary, accepted boolean, range_from binary"
 
+    def __init__(self, repeated_only: bool = False):
+        self.repeated_only = repeated_only
+
     def step(self, state, batch):
         n = batch.num_rows
         number, malformed = column(batch, "number"), np.asarray(column(batch, "malformed"))
@@ -49,6 +52,8 @@ class _SeenRanges(Scan):
             [column(batch, "row_id"), column(batch, "malformed"), column(batch, "producer").cast(pa.string()), number.cast(pa.binary()), pa.array(fresh), begin.cast(pa.binary())],
             names=["row_id", "malformed", "producer", "number", "accepted", "range_from"],
         )
+        if self.repeated_only:
+            out = out.filter(pa.array(~fresh))
         head, single = (first_key, not opens[1:].any()) if state is None else (state[2], state[3] and not opens.any())
         return (key_of(batch, KEY, n - 1), begin[n - 1].as_py(), head, bool(single)), out
 
@@ -65,8 +70,8 @@ def _next(key: tuple, other: tuple) -> bool:
     return int.from_bytes(key[2], "big") + 1 == int.from_bytes(other[2], "big")
 
 
-def accept(rows: DataFrame, number: str = "read_id", producer: str = "run_info", arrived: str = "received_at", row: str = "row_id") -> DataFrame:
-    """Marks each row as accepted or as a repeated delivery.
+def accept(rows: DataFrame, number: str = "read_id", producer: str = "run_info", arrived: str = "received_at", row: str = "row_id", repeated_only: bool = False) -> DataFrame:
+    """Marks each row as accepted or as a repeated delivery; repeated_only gives out the latter alone.
 
     An identifier is a producer (here the acquisition) and a number (here the 128 bits of the read id, as an integer).
     Of the rows of one identifier the first to arrive is accepted, by arrival, then by row number; an unknown time of
@@ -77,12 +82,12 @@ def accept(rows: DataFrame, number: str = "read_id", producer: str = "run_info",
         (F.col(number).isNull() | (F.length(value) != 16)).alias("malformed"), acquisition_key(producer).alias("producer"), value.alias("number"),
         F.col(arrived).alias("arrived"), F.col(row).cast("long").alias("row_id"),
     )
-    return ordered_scan(keyed, ["malformed", "producer", "number", F.asc_nulls_last("arrived"), "row_id"], _SeenRanges())
+    return ordered_scan(keyed, ["malformed", "producer", "number", F.asc_nulls_last("arrived"), "row_id"], _SeenRanges(repeated_only))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """The row_id of every row to be dropped."""
-    return accept(rows).filter("NOT accepted").select("row_id")
+    return accept(rows, repeated_only=True).select("row_id")
 
 
 def seen_ranges(rows: DataFrame) -> DataFrame:
