@@ -26,8 +26,8 @@ class _Place(Scan):
 
     schema = "record_id long, acquisition_id string, read_id string, n_bytes long, keep boolean, out_file long"
 
-    def __init__(self, target: int):
-        self.target = target
+    def __init__(self, target: int, left_out_only: bool = False):
+        self.target, self.left_out_only = target, left_out_only
 
     def step(self, state, batch):
         n = batch.num_rows
@@ -46,6 +46,8 @@ class _Place(Scan):
             [column(batch, "record_id"), column(batch, "acquisition_id").cast(pa.string()), read.cast(pa.string()), column(batch, "n_bytes"), pa.array(keep), pa.array((before - base) // self.target)],
             names=["record_id", "acquisition_id", "read_id", "n_bytes", "keep", "out_file"],
         )
+        if self.left_out_only:
+            out = out.filter(pa.array(~keep))
         head, own = (key_of(batch, ["acquisition_id", "read_id"], 0), int(size[0])) if state is None else (state[2], state[3])
         return (key_of(batch, ["acquisition_id", "read_id"], n - 1), int(total[-1] - base[-1]), head, own), out
 
@@ -58,17 +60,17 @@ class _Place(Scan):
         return last, carry[1] + total - again, None, 0
 
 
-def placed_records(records: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Each record with keep and out_file, its output file within the acquisition.
+def placed_records(records: DataFrame, target_bytes: int = TARGET_BYTES, left_out_only: bool = False) -> DataFrame:
+    """Each record (or only those left out) with keep and out_file, its output file within the acquisition.
 
     The record with the smallest record_id of an acquisition's read is kept; records without read_id are all kept, a null
     acquisition is one acquisition. Unknown sizes count as 0 bytes. Columns not named here are left aside."""
     keyed = records.select(acquisition_key("acquisition_id").alias("acquisition_id"), read_key("read_id").alias("read_id"), F.col("record_id").cast("long").alias("record_id"), F.col("n_bytes").cast("long").alias("n_bytes"))
-    return ordered_scan(keyed, ["acquisition_id", "read_id", "record_id"], _Place(target_bytes))
+    return ordered_scan(keyed, ["acquisition_id", "read_id", "record_id"], _Place(target_bytes, left_out_only))
 
 
 def left_out(records: DataFrame) -> DataFrame:
-    return placed_records(records).filter("NOT keep").select("record_id")
+    return placed_records(records, left_out_only=True).select("record_id")
 
 
 class LostRecords(RuntimeError):
