@@ -26,7 +26,7 @@ CLEAR, FIRST_ROUND = 1.6, 3.6
 #: multiples of the value's axis would flag ordinary steps.
 STEP_AXES = (3.25, 6.5)
 #: A stretch is flat where samples change by at most so much; it is too long beyond both of these.
-FLAT_STEP, FLAT_LEAST, FLAT_RARE = 1, 14, 1.6
+FLAT_STEP, FLAT_LEAST, FLAT_RARE = 1, 20, 1.6
 #: Readings of a read: axis over the universal threshold; reads in succession with one value that make it stuck;
 #: acquisitions with fewer readings than this borrow the usual spread of all.
 READ_CLEAR, STUCK_READS, FEW = 2.0, 4, 12
