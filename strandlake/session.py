@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import importlib.util
+import marshal
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,27 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once a context, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_strandlake", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="strandlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/strandlake.zip", "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            name = source.relative_to(root.parent).as_posix()
+            out.write(source, name)
+            # compiled as well, marked as needing no check, so workers needn't compile
+            code = marshal.dumps(compile(source.read_bytes(), name, "exec"))
+            out.writestr(name + "c", importlib.util.MAGIC_NUMBER + (1).to_bytes(4, "little") + bytes(8) + code)
+    context.addPyFile(f"{folder}/strandlake.zip")
+    context._strandlake = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a copy in the shared folder; partitions and the order within them stay as they are."""
+    ship(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -90,4 +115,5 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark

@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .. import codec
 from ..operators.migrate import table_version
 from ..schema import READS, RUN_INFO, SIGNAL, SIGNAL_PACKED
+from ..session import ship
 from . import format as form
 from .discovery import listed
 
@@ -317,6 +318,7 @@ class ContainerSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ContainerSource)
 
 
