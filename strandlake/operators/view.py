@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid_str
+from ..functions.keys import acquisition_key
 from ..functions.records import fixed, not_set
 from ..session import broadcast_if_small, checkpoint
 
@@ -107,10 +108,12 @@ def conflicting_acquisitions(run_info: DataFrame, columns: list[str] | None = No
 
 
 def join_run_info(reads: DataFrame, run_info: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
-    """Inner join of reads to the distinct rows of run information, per file where both sides name files.
+    """Inner join of reads to the distinct rows of run information, per file where both sides name files. Acquisitions are
+    compared and given out as bare identifiers.
 
     strict raises AmbiguousAcquisition if an acquisition's rows differ in the columns; else each is joined."""
     by_file = "_file" in reads.columns and "_file" in run_info.columns
+    reads, run_info = reads.withColumn("run_info", acquisition_key("run_info")), run_info.withColumn("acquisition_id", acquisition_key("acquisition_id"))
     if strict and (bad := conflicting_acquisitions(run_info, columns, ("_file",) if by_file else ()).limit(3).collect()):
         raise AmbiguousAcquisition(f"acquisitions with differing rows: {bad}")
     dimension = checkpoint(run_info.select(*(["_file"] if by_file else []), F.col("acquisition_id").alias("_acquisition"), *[c for c in columns if c != "acquisition_id"]).distinct())

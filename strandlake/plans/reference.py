@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import codec
 from ..functions import ids, records
 from ..functions import signal as sig
+from ..functions.keys import acquisition_key
 from ..operators import aggregate, merge, migrate, route, select, signal, view
 from ..schema import READS_V3, RUN_INFO_COLUMNS
 from ..session import broadcast_if_small, checkpoint, table, work_path
@@ -412,9 +413,9 @@ def rounded_levels(spark, sf):
 SELECT {_U('read_id')} AS read_id, read_number, coalesce(n, 0) AS num_samples, coalesce(total, 0) AS signal_sum FROM read_rows LEFT JOIN sums USING (row_id) WHERE run_info IN (SELECT acquisition_id FROM run_info)""")
 def container_round_trip(spark, sf):
     """Reads written as containers into the shared folder, and read from there again."""
-    reads = table(spark, sf, "read_rows")
+    reads = table(spark, sf, "read_rows").withColumn("run_info", acquisition_key("run_info"))
     whole = signal.reassemble(reads.select("row_id", "signal"), _signal(spark, sf), ["row_id"]).drop("complete")
-    info = checkpoint(_info(spark, sf).select(*RUN_INFO_COLUMNS).dropDuplicates(["acquisition_id"]))
+    info = checkpoint(_info(spark, sf).select(*RUN_INFO_COLUMNS).withColumn("acquisition_id", acquisition_key("acquisition_id")).dropDuplicates(["acquisition_id"]))
     info = broadcast_if_small(info.select(F.col("acquisition_id").alias("_a"), F.struct(*RUN_INFO_COLUMNS).alias("info")), 20_000)
     path = work_path(spark, "containers")
     write(reads.drop("signal").join(whole, "row_id").join(info, F.col("run_info") == F.col("_a")), path)
