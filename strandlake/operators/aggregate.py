@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import acquisition_key
+
 
 def stored_bytes(signal: str = "signal", dtype: str = "array<smallint>") -> Column:
     """Bytes of a stored chunk: of packed signal its length, of plain signal two for each sample."""
@@ -31,7 +33,7 @@ def debug_summary(reads: DataFrame, signal: DataFrame, batch: list[str] | None =
     size = stored_bytes("signal", dict(signal.dtypes)["signal"])
     of_reads = reads.agg(
         F.count(F.lit(1)).alias("n_reads"), F.countDistinct(*(batch or [F.lit(1)])).alias("n_batches"), F.coalesce(F.sum("num_samples"), F.lit(0)).alias("n_samples"),
-        F.min("start").alias("first_sample"), F.max(F.try_add(F.col("start"), F.col("num_samples"))).alias("last_sample"), F.countDistinct("run_info").alias("n_run_infos"),
+        F.min("start").alias("first_sample"), F.max(F.try_add(F.col("start"), F.col("num_samples"))).alias("last_sample"), F.countDistinct(acquisition_key("run_info")).alias("n_run_infos"),
     )
     of_chunks = signal.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes"), F.coalesce(F.sum("samples"), F.lit(0)).alias("n_stored"))
     # one row each
@@ -44,7 +46,8 @@ def batch_sizes(reads: DataFrame, batch: str = "_batch") -> DataFrame:
 
 
 def distinct_run_infos(reads: DataFrame) -> DataFrame:
-    return reads.select("run_info").dropna().distinct()
+    """Bare identifiers of the acquisitions that reads name."""
+    return reads.select(acquisition_key("run_info").alias("run_info")).dropna().distinct()
 
 
 def throughput(samples: int, seconds: float) -> tuple[float, float]:

@@ -43,6 +43,10 @@ def _info(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "run_info")
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "file_records").withColumn("acquisition_id", acquisition_key("acquisition_id"))
+
+
 def _no_nan(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kind in ("float", "double") else F.col(c) for c, kind in df.dtypes])
 
@@ -152,13 +156,13 @@ _MAP = f"pairs AS (SELECT DISTINCT unhex(replace(read_id, '-', '')) AS id, 'acq-
 
 @_query(f"WITH {_MAP} SELECT row_id, dest FROM read_rows JOIN pairs ON id = read_id")
 def subset_route(spark, sf):
-    mapping = route.mapping_of_table(table(spark, sf, "file_records"), ["acquisition_id"], template="acq-{acquisition_id}.container")
+    mapping = route.mapping_of_table(_stored(spark, sf), ["acquisition_id"], template="acq-{acquisition_id}.container")
     return route.subset(table(spark, sf, "read_rows").select("row_id", "read_id"), mapping, missing_ok=True, check=False).select("row_id", "dest")
 
 
 @_query(f"WITH {_MAP} SELECT dest, count(*) AS n_reads, sum(num_samples)::BIGINT AS n_samples FROM read_rows JOIN pairs ON id = read_id GROUP BY dest")
 def subset_sizes(spark, sf):
-    mapping = route.mapping_of_table(table(spark, sf, "file_records"), ["acquisition_id"], template="acq-{}.container")
+    mapping = route.mapping_of_table(_stored(spark, sf), ["acquisition_id"], template="acq-{}.container")
     routed = route.subset(table(spark, sf, "read_rows").select("read_id", "num_samples"), mapping, missing_ok=True, check=False)
     return routed.groupBy("dest").agg(F.count(F.lit(1)).alias("n_reads"), F.sum("num_samples").alias("n_samples"))
 
@@ -166,7 +170,7 @@ def subset_sizes(spark, sf):
 @_query(f"SELECT record_id, 'acquisition_id-' || acquisition_id || '_seq_no-' || seq_no || '.container' AS dest FROM file_records WHERE read_id IS NOT NULL AND acquisition_id IS NOT NULL AND seq_no IS NOT NULL AND {_STRICT}")
 def template_dest(spark, sf):
     columns = ["acquisition_id", "seq_no"]
-    rows = table(spark, sf, "file_records").filter(ids.is_strict_uuid("read_id")).dropna(subset=columns)
+    rows = _stored(spark, sf).filter(ids.is_strict_uuid("read_id")).dropna(subset=columns)
     return rows.select("record_id", route.templated(route.default_template(columns), columns).alias("dest"))
 
 
@@ -183,8 +187,8 @@ def uuid_regex_filter(spark, sf):
 
 @_query(f"SELECT {_U('read_id')} AS read_id, run_info AS acquisition_id, num_samples FROM read_rows UNION ALL SELECT CASE WHEN {_VALID} THEN {_U(f'unhex({_DIGITS})')} END, acquisition_id, num_samples FROM file_records")
 def merge_union(spark, sf):
-    reads = table(spark, sf, "read_rows").select(ids.uuid_str("read_id").alias("read_id"), F.col("run_info").alias("acquisition_id"), "num_samples")
-    stored = table(spark, sf, "file_records").select(ids.uuid_str(ids.uuid_bin("read_id")).alias("read_id"), "acquisition_id", "num_samples")
+    reads = table(spark, sf, "read_rows").select(ids.uuid_str("read_id").alias("read_id"), acquisition_key("run_info").alias("acquisition_id"), "num_samples")
+    stored = _stored(spark, sf).select(ids.uuid_str(ids.uuid_bin("read_id")).alias("read_id"), "acquisition_id", "num_samples")
     return merge.merge([reads, stored], check=False)
 
 
@@ -379,7 +383,7 @@ def merge_dimension(spark, sf):
 
 @_query("SELECT DISTINCT run_info FROM read_rows WHERE run_info NOT IN (SELECT acquisition_id FROM run_info WHERE acquisition_id IS NOT NULL)")
 def unknown_run_infos(spark, sf):
-    known = _info(spark, sf).select(F.col("acquisition_id").alias("run_info")).distinct()
+    known = _info(spark, sf).select(acquisition_key("acquisition_id").alias("run_info")).distinct()
     return aggregate.distinct_run_infos(table(spark, sf, "read_rows")).join(known, "run_info", "left_anti")
 
 

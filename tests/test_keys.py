@@ -25,7 +25,7 @@ def bare():
     return found
 
 
-@pytest.mark.parametrize("name", ["view_all", "view_pruned", "container_round_trip"])
+@pytest.mark.parametrize("name", ["view_all", "view_pruned", "container_round_trip", "unknown_run_infos", "distinct_run_infos", "subset_route", "subset_sizes", "merge_union", "debug_summary", "template_dest"])
 def test_bare_keys(spark, bare, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
