@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ids import uuid_bin, uuid_str
+from .functions.ids import is_strict_uuid, uuid_bin, uuid_str
 from .functions.records import fixed
 from .operators import aggregate, merge, route, select, view
 from .session import local_session
@@ -102,7 +102,9 @@ def do_subset(spark, args) -> None:
         targets = mapping.read_csv_mapping(spark, args.csv)
     else:
         columns = [c for part in args.columns for c in part.split(",") if c]
-        targets = route.mapping_of_table(mapping.read_table(spark, args.table, columns, args.read_id_column), columns, args.read_id_column, args.template, args.ignore_incomplete_template)
+        # mapping files must have the strict form
+        rows = mapping.read_table(spark, args.table, columns, args.read_id_column).filter(is_strict_uuid(args.read_id_column))
+        targets = route.mapping_of_table(rows, columns, args.read_id_column, args.template, args.ignore_incomplete_template)
     rows = route.subset(ReadStore(spark, inputs).complete(), targets, args.missing_ok)
     if not args.force_overwrite:
         for (dest,) in targets.select("dest").distinct().toLocalIterator():

@@ -7,7 +7,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import is_strict_uuid, uuid_bin
+from ..functions.ids import uuid_bin, uuid_str
 from ..session import broadcast_if_small, checkpoint
 from .merge import DuplicateReads
 from .select import MissingReads
@@ -49,8 +49,9 @@ def templated(template: str, columns: list[str], unused_ok: bool = False) -> Col
 
 
 def mapping_of_table(table: DataFrame, columns: list[str], read_id: str = "read_id", template: str | None = None, unused_ok: bool = False) -> DataFrame:
-    """read_id (text) and dest from a table with a row per read. Rows with nulls and ids of another form are dropped."""
-    named = table.select(F.col(read_id).alias("_id"), *columns).dropna().filter(is_strict_uuid("_id"))
+    """read_id (text) and dest from a table with a row per read. Ids are told by their 32 hex digits and given out in the
+    canonical form; rows with nulls and with what is no id are dropped."""
+    named = table.select(uuid_str(uuid_bin(read_id)).alias("_id"), *columns).dropna()
     return named.select(F.col("_id").alias("read_id"), templated(template or default_template(columns), columns, unused_ok).alias("dest"))
 
 

@@ -170,7 +170,7 @@ def subset_sizes(spark, sf):
 @_query(f"SELECT record_id, 'acquisition_id-' || acquisition_id || '_seq_no-' || seq_no || '.container' AS dest FROM file_records WHERE read_id IS NOT NULL AND acquisition_id IS NOT NULL AND seq_no IS NOT NULL AND {_STRICT}")
 def template_dest(spark, sf):
     columns = ["acquisition_id", "seq_no"]
-    rows = _stored(spark, sf).filter(ids.is_strict_uuid("read_id")).dropna(subset=columns)
+    rows = _stored(spark, sf).filter(ids.uuid_bin("read_id").isNotNull()).dropna(subset=columns)
     return rows.select("record_id", route.templated(route.default_template(columns), columns).alias("dest"))
 
 
