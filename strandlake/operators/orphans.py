@@ -3,7 +3,8 @@
 Keys become integers, and sets of keys become bitmaps, one for each range of 32,768 keys and each day: the keys that rows
 refer to, and the keys whose target surely lives all day long (it came on an earlier day and is never deleted). The
 first AND-NOT the second leaves the doubtful bits; decoded, they mark the days on which references to a key are
-looked at one by one, in one carried scan over marks, targets and references in the order of key and time.
+looked at one by one, in one carried scan over marks, the targets of marked keys, and the references of marked keys and
+days, in the order of key and time.
 """
 
 from __future__ import annotations
@@ -119,9 +120,23 @@ class _Dangling(Scan):
         return local[0], max(carry[1], local[1]), carry[2] if local[2] == -FOREVER else local[2]
 
 
+def surviving(references: DataFrame, targets: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References of marked keys and days, and targets of marked keys. The few marks of a small referenced table are broadcast,
+    so that the many references to one of its keys stay where they are."""
+    at = F.expr(f"(t - pmod(t, {DAY_US}))").alias("day_t")
+    dated = references.select("*", at)
+    days = marks.select("ref_field", "key_id", F.col("t").alias("day_t"))
+    kept, lived = [], []
+    for of in (F.col("ref_field") == "run_info", F.col("ref_field") != "run_info"):
+        kept.append(dated.filter(of).join(broadcast_if_small(days.filter(of)), ["ref_field", "key_id", "day_t"], "left_semi").drop("day_t"))
+        lived.append(targets.filter(of).join(broadcast_if_small(days.filter(of).select("ref_field", "key_id").distinct()), ["ref_field", "key_id"], "left_semi"))
+    return kept[0].unionByName(kept[1]), lived[0].unionByName(lived[1])
+
+
 def dangling(references: DataFrame, targets: DataFrame) -> DataFrame:
     """ref_field, key_id and row_id of references whose target had no live row at the time of the reference."""
-    marks = doubtful_keys(references, targets).select("ref_field", "key_id", (F.col("day") * DAY_US).alias("t"), F.lit(MARK).alias("kind"), F.lit(None).cast("long").alias("row_id"), F.lit(0).cast("long").alias("until"))
+    marks = checkpoint(doubtful_keys(references, targets)).select("ref_field", "key_id", (F.col("day") * DAY_US).alias("t"), F.lit(MARK).alias("kind"), F.lit(None).cast("long").alias("row_id"), F.lit(0).cast("long").alias("until"))
+    references, targets = surviving(references, targets, marks)
     events = marks.unionByName(targets).unionByName(references)
     return ordered_scan(events, ["ref_field", "key_id", "t", "kind", "row_id", "until"], _Dangling())
 

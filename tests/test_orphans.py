@@ -63,3 +63,15 @@ def test_empty_tables(spark):
     assert rows(orphans.orphan_references(reads, signal, info)) == []
     one = spark.createDataFrame([(1, "a", [5], T, 0, 0)], READS)
     assert rows(orphans.orphan_references(one, signal, info)) == [("run_info", 1, "a"), ("signal", 1, "5")]
+
+
+def test_only_surviving_keys_and_days_are_scanned(spark):
+    day = orphans.DAY_US
+    columns = "ref_field string, key_id bigint, t bigint, kind int, row_id bigint, until bigint"
+    forever = orphans.FOREVER
+    targets = spark.createDataFrame([("signal", 1, 0, 1, None, forever), ("signal", 2, 5 * day, 1, None, forever)], columns)
+    references = spark.createDataFrame([("signal", 1, 3 * day, 2, 10, 0), ("signal", 2, 5 * day + 9, 2, 11, 0), ("signal", 2, 7 * day, 2, 12, 0), ("run_info", 1, day, 2, 13, 0)], columns)
+    marks = orphans.doubtful_keys(references, targets).selectExpr("ref_field", "key_id", f"day * {day} AS t")
+    kept, lived = orphans.surviving(references, targets, marks)
+    assert rows(kept.select("row_id")) == [(11,), (13,)] and rows(lived.select("key_id")) == [(2,)]
+    assert rows(orphans.dangling(references, targets)) == [("run_info", 1, 13)]
