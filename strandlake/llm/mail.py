@@ -65,7 +65,8 @@ def plain_of_html(text: str) -> str:
 
 
 def parts(text: str, depth: int = 0) -> Iterator[Part]:
-    """The leaves of a mail in their order, decoded as far as they can be. Of a damaged multipart body the parts that can be
+    """The leaves of a mail in their order, decoded as far as they can be; what stands before and behind the parts of a
+    multipart body comes as attached plain text. Of a damaged multipart body the parts that can be
     told apart are given; a missing or cut-off end closes at the end of the text."""
     headers, body = split_headers(text)
     kind = (_TYPE.search(headers) or _NOTHING).group(1).lower() if headers else "text/plain"
@@ -73,8 +74,12 @@ def parts(text: str, depth: int = 0) -> Iterator[Part]:
         pieces = re.split(r"(?m)^--" + re.escape(b.group(1) or b.group(2)) + r"(--)?[ \t]*(?:\n|\Z)", body)
         if len(pieces) > 1:
             # pieces: text before, then of each boundary whether it closes, and the text behind
-            for closes, piece in zip(pieces[1::2], pieces[2::2], strict=True):
-                if not closes and piece.strip():
+            for closes, piece in zip(["--", *pieces[1::2]], pieces[::2], strict=True):
+                if not piece.strip():
+                    continue
+                if closes:  # before the first part or behind the last, so none of the message's own text
+                    yield Part("text/plain", True, piece)
+                else:
                     yield from parts(piece[1:] if piece.startswith("\n") else piece, depth + 1)
             return
     encoding = _ENCODING.search(headers)
@@ -96,18 +101,8 @@ _NOTHING = _Nothing()
 
 
 def all_texts(text: str | None) -> list[str]:
-    """The texts of all parts and attachments that hold text; none for null and empty."""
-    if not text:
-        return []
-    out = []
-    for part in parts(newlines(text)):
-        if not part.kind.startswith(("text/", "multipart/", "message/")):
-            # bytes that aren't text: many control or undecodable characters
-            probe = part.text[:2000]
-            if sum(c < " " and c not in "\n\t" or c == "�" for c in probe) > 0.05 * len(probe):
-                continue
-        out.append(part.text)
-    return out
+    """The texts of all parts and attachments, also of those that begin with or are bytes; none for null and empty."""
+    return [part.text for part in parts(newlines(text))] if text else []
 
 
 #: How quoted lines begin.

@@ -53,3 +53,12 @@ def test_own_prose():
     assert mail.own_prose(wrap("Mine.\n\n-----Original Message-----\nFrom: x\n\nNot mine.")) == "Mine."
     assert mail.own_prose(wrap("Please treat this mail as private to X. If it reached you by mistake, tell the sender.")) == ""
     assert mail.own_prose(wrap("<p>Dear Q,</p><p>Mine <b>too</b>.</p><p>&gt; quoted</p>", "Content-Type: text/html")) == "Mine too."
+
+
+def test_text_behind_bytes_and_around_parts():
+    raw = bytes(range(256)) * 12 + b"\n" + TEXT.encode()
+    attachment = "Content-Type: application/octet-stream\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment\n\n" + base64.b64encode(raw).decode()
+    whole = wrap(f"Before: {TEXT}\n--B1\nContent-Type: text/plain\n\nMine.\n--B1\n{attachment}\n--B1--\nBehind: {TEXT}\n", 'Content-Type: multipart/mixed; boundary="B1"')
+    texts = mail.all_texts(whole)
+    assert len(texts) == 4 and sum(TEXT in t for t in texts) == 3
+    assert mail.own_prose(whole) == "Mine."
