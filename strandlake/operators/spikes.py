@@ -27,9 +27,9 @@ CLEAR, FIRST_ROUND = 1.6, 3.6
 STEP_AXES = (3.25, 6.5)
 #: A stretch is flat where samples change by at most so much; it is too long beyond both of these.
 FLAT_STEP, FLAT_LEAST, FLAT_RARE = 1, 20, 1.6
-#: Readings of a read: axis over the universal threshold; reads in succession with one value that make it stuck;
+#: Readings of a read: axis in robust deviations, whatever the number of readings; reads in succession with one value that make it stuck;
 #: acquisitions with fewer readings than this borrow the usual spread of all.
-READ_CLEAR, STUCK_READS, FEW = 2.0, 4, 12
+READ_CLEAR, STUCK_READS, FEW = 7.5, 4, 12
 ROUNDS = 12
 
 
@@ -194,8 +194,7 @@ def reading_axes(readings: DataFrame) -> DataFrame:
         spread = checkpoint(spread)
         usual = spread.filter(F.col("n") >= FEW).agg(F.percentile_approx("spread", 0.5, 10000)).first()[0] or 0.0
         width = F.when(F.col("n") < FEW, F.greatest("spread", F.lit(usual))).otherwise(F.col("spread"))
-        threshold = READ_CLEAR * 1.4826 * F.sqrt(2 * F.log(F.greatest("n", F.lit(100))))
-        axes = spread.select(F.col("source").alias("s"), F.col("level").alias("at"), F.greatest(width * threshold, F.lit(1e-6)).alias("a"))
+        axes = spread.select(F.col("source").alias("s"), F.col("level").alias("at"), F.greatest(width * (READ_CLEAR * 1.4826), F.lit(1e-6)).alias("a"))
         if not last:
             kept = readings.join(broadcast_if_small(axes), F.col("source").eqNullSafe(F.col("s"))).filter(F.abs(F.col("value") - F.col("at")) <= F.col("a")).select(*readings.columns)
     return checkpoint(axes)

@@ -52,3 +52,14 @@ def test_a_stuck_series_over_all_partitions(spark):
 def test_empty(spark):
     signal, info, reads = spark.createDataFrame([], SIGNAL), spark.createDataFrame([], INFO), spark.createDataFrame([], READS)
     assert rows(spikes.implausible(signal, reads, info)) == []
+
+
+def test_a_reading_is_judged_alike_in_sources_of_any_size(spark):
+    k = 0
+    data = []
+    for source, n in (("small", 100), ("large", 20_000)):
+        step = [200 + 4.0 * ((i * 7919) % 1001 - 500) / 500 for i in range(n)]  # spread evenly: the median deviation is 2
+        for i, value in enumerate([*step, 200 + 8.2 * 1.4826 * 2, 200 + 6.6 * 1.4826 * 2]):
+            data.append((k, source, None, None, i, k.to_bytes(16, "big"), value))
+            k += 1
+    assert rows(spikes.odd_readings(spark.createDataFrame(data, READS))) == [(100,), (20_102,)]
