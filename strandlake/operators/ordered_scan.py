@@ -6,7 +6,9 @@ rows. Here rows are range-sorted by entity *and* order, so that an entity spread
 Each partition is summarised by the state it ends in; the summaries, one small row a partition, are combined
 from left to right on the driver; then every partition is scanned again from the state carried into it.
 
-The sorted rows are checkpointed in between, so both passes see the same partitions, also when executors are lost.
+The sorted rows are checkpointed in between, so both passes see the same partitions, also when executors are lost. There are as
+many partitions as the rows fill, MAX_PARTITIONS at most; states are small and of a size that doesn't grow with the rows, so
+those that are sent to the executors, one a partition, are bounded. A task unpickles its own only.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, partitions_for
 
 #: Column of the sorted rows that holds the number of their partition.
 PARTITION = "_partition"
@@ -42,11 +44,12 @@ class Scan:
         return local
 
 
-def ordered_scan(df: DataFrame, order: list[Any], scan: Scan) -> DataFrame:
+def ordered_scan(df: DataFrame, order: list[Any], scan: Scan, partitions: int | None = None) -> DataFrame:
     """Runs scan over df in the order of the columns given; the rows that are given out keep no particular order."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    partitions = partitions or partitions_for(df)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     # a task's own number isn't that of the partition where the scan stands in a union: the rows say it
-    ordered = checkpoint(ordered.withColumn(PARTITION, F.spark_partition_id()))
+    ordered = checkpoint(ranged.sortWithinPartitions(*order).withColumn(PARTITION, F.spark_partition_id()))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, pid = None, None
@@ -56,18 +59,20 @@ def ordered_scan(df: DataFrame, order: list[Any], scan: Scan) -> DataFrame:
         if pid is not None:
             yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "state": pa.array([pickle.dumps(state)], pa.binary())})
 
-    carried, carry = {}, None
+    pids, packed, carry = [], [], None
     for pid, state in sorted(tuple(row) for row in ordered.mapInArrow(summarise, "pid int, state binary").collect()):
         if carry is not None:
-            carried[pid] = pickle.dumps(carry)
+            pids.append(pid)
+            packed.append(pickle.dumps(carry))
         carry = pickle.loads(state) if carry is None else scan.merge(carry, pickle.loads(state))
+    carried = df.sparkSession.sparkContext.broadcast((np.array(pids, np.int32), np.cumsum([0, *map(len, packed)]), b"".join(packed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, begun = None, False
         for batch in batches:
             if batch.num_rows:
-                if not begun and (before := carried.get(column(batch, PARTITION)[0].as_py())):
-                    state = pickle.loads(before)
+                if not begun:
+                    state = _carried(carried.value, column(batch, PARTITION)[0].as_py())
                 begun = True
                 state, out = scan.step(state, batch)
                 if out is not None and out.num_rows:
@@ -76,6 +81,12 @@ def ordered_scan(df: DataFrame, order: list[Any], scan: Scan) -> DataFrame:
     return ordered.mapInArrow(run, scan.schema)
 
 
+def _carried(states: tuple[np.ndarray, np.ndarray, bytes], pid: int) -> Any:
+    pids, ends, packed = states
+    at = int(np.searchsorted(pids, pid))
+    return pickle.loads(packed[ends[at] : ends[at + 1]]) if at < len(pids) and pids[at] == pid else None
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
