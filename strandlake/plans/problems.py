@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import compact, delivery, drift, intervals, orphans, spikes
 from ..session import checkpoint, table, work_path
@@ -28,6 +29,11 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_references(*(table(spark, sf, t) for t in ("read_rows", "signal_rows", "run_info")))
 
 
+def p3_bits(spark: SparkSession, sf: str) -> DataFrame:
+    found = orphans.doubtful_references(*(table(spark, sf, t) for t in ("read_rows", "signal_rows", "run_info")))
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return _orphans(spark, sf)
 
@@ -61,7 +67,7 @@ def p6_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_seen_ranges, p3_found, p3_by_month, p4_found, p5_found, p5_changes, p5_table, p6_found, p6_manifest)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_seen_ranges, p3_found, p3_bits, p3_by_month, p4_found, p5_found, p5_changes, p5_table, p6_found, p6_manifest)}
 
 
 _ACQ = r"lower(regexp_replace({}, '^[\s{{}}]+|[\s{{}}]+$', '', 'g'))"
@@ -105,6 +111,9 @@ SELECT acquisition_id, min(h) AS range_from, max(h) AS range_to, count(*) AS n_n
 SELECT acquisition_id, channel, well, min(s) AS period_start, max(e) AS period_end, count(*) AS n_rows FROM labelled GROUP BY acquisition_id, channel, well, island""",
         "p2_found": f"SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY {_ACQ.format('run_info')}, read_id ORDER BY received_at NULLS LAST, row_id) AS n FROM read_rows) WHERE n > 1",
         "p3_found": f"WITH {_ORPHANS} SELECT ref_field, row_id, ref_key FROM orphans",
+        "p3_bits": f"""WITH {_ORPHANS}, firsts AS (SELECT ref_field, ref_key, min(floor(epoch_us(received_at) / 1000)) AS since FROM targets WHERE deleted_at IS NULL AND received_at IS NOT NULL GROUP BY 1, 2),
+days AS (SELECT ref_field, ref_key, CAST(received_at AT TIME ZONE 'UTC' AS DATE) AS day, min(floor(epoch_us(received_at) / 1000)) AS referred FROM refs GROUP BY 1, 2, 3)
+SELECT ref_field, ref_key, strftime(day, '%Y-%m-%d') AS day FROM days LEFT JOIN firsts USING (ref_field, ref_key) WHERE since IS NULL OR since >= referred""",
         "p3_by_month": f"WITH {_ORPHANS} SELECT CASE WHEN ref_field = 'run_info' THEN 'run_info' ELSE 'signal_rows' END AS ref_table, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_orphans FROM orphans GROUP BY 1, 2",
         "p6_found": f"WITH {_KEPT} SELECT record_id FROM kept WHERE again",
         "p6_manifest": f"WITH {_KEPT} SELECT acquisition_id, CAST(floor(before / {compact.TARGET_BYTES}) AS BIGINT) AS out_file, count(*) AS n_records, sum(n_bytes)::BIGINT AS n_bytes FROM (SELECT *, sum(n_bytes) OVER (PARTITION BY acquisition_id ORDER BY rid NULLS FIRST, record_id ROWS UNBOUNDED PRECEDING) - n_bytes AS before FROM kept WHERE NOT again) GROUP BY 1, 2",
