@@ -26,6 +26,51 @@ def test_chunks(spark):
     assert rows(spikes.implausible(signal, reads, infos)) == [("adc", 3), ("adc", 4), ("signal", 10), ("signal", 11), ("signal", 12)]
 
 
+def test_jumps_that_only_the_differences_show(spark):
+    """A slow wave, in which a sample far off its neighbours is still within the range of values."""
+    wave = 500 + 300 * np.sin(np.arange(120) / 19)
+    rng = np.random.default_rng(8)
+    data = [[k, np.round(wave + rng.integers(-4, 5, 120)).astype(int)] for k in range(200)]
+    data[20][1][30] -= 250  # at the crest
+    data[21][1][60] += 900  # out of range
+    table = [(k, "a", [int(x) for x in v], "x") for k, v in data]
+    signal, infos = spark.createDataFrame(table, SIGNAL), spark.createDataFrame([], INFO)
+    assert rows(spikes.odd_chunks(signal, infos)) == [(20, 1), (21, 1)]
+    (axes,) = spikes.signal_axes(signal.selectExpr("row_no", "lower(acquisition_id) AS acquisition_id", "signal")).collect()
+    v = np.array(data[20][1])
+    assert np.abs(v - axes.level).max() < axes.a  # the value's axis alone doesn't
+    assert (data[21][1].max() - axes.level) > axes.a
+
+
+def test_axes_are_those_of_the_points_inside(spark):
+    """Against a plain iteration over all points of a source."""
+    rng = np.random.default_rng(9)
+    chunks = [rng.integers(-200, 201, 80) for _ in range(150)]
+    for k in range(0, 150, 6):
+        chunks[k][rng.integers(3, 77)] += 3000 if k % 4 else 700
+    signal = spark.createDataFrame([(k, "a", [int(x) for x in v], "x") for k, v in enumerate(chunks)], SIGNAL)
+    (got,) = spikes.signal_axes(signal.select("row_no", "acquisition_id", "signal")).collect()
+    v, d1, d2, inner, twice = ([] for _ in range(5))
+    for c in chunks:
+        v.append(c)
+        d1.append(np.r_[0, np.diff(c)])
+        d2.append(np.r_[0, 0, np.diff(c, 2)])
+        inner.append(np.arange(80) > 0)
+        twice.append(np.arange(80) > 1)
+    v, d1, d2, inner, twice = (np.concatenate(x) for x in (v, d1, d2, inner, twice))
+    low = lambda x, q: np.sort(x)[np.searchsorted(np.arange(1, len(x) + 1), q * len(x))]
+    axes = (low(v, 0.5), spikes.FIRST_ROUND * low(np.abs(v - low(v, 0.5)), 0.5), spikes.CLEAR[1] * low(np.abs(d1[inner]), 0.99), spikes.CLEAR[2] * low(np.abs(d2[twice]), 0.99))
+    for _ in range(spikes.ROUNDS):
+        level, a, b, c = axes
+        keep = ~spikes.outside((v - level) / a, d1 / b, d2 / c)
+        level = low(v[keep], 0.5)
+        newer = (level, spikes.CLEAR[0] * low(np.abs(v[keep] - level), 0.99), spikes.CLEAR[1] * low(np.abs(d1[keep & inner]), 0.99), spikes.CLEAR[2] * low(np.abs(d2[keep & twice]), 0.99))
+        if newer == axes:
+            break
+        axes = newer
+    assert np.allclose((got.level, got.a, got.b, got.c), axes) and got.a < 400
+
+
 def test_readings(spark):
     rng = np.random.default_rng(6)
     data = [[k, "a" if k % 3 else "{A}", 1, 1, 10 * k, bytes([k // 256, k % 256]) * 8, float(np.float32(200 + rng.normal(0, 3)))] for k in range(600)]
