@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.records import END_REASONS
 from ..operators import compact, delivery, drift, intervals, orphans, spikes
 from ..session import checkpoint, table, work_path
 
@@ -54,8 +55,14 @@ def p5_changes(spark: SparkSession, sf: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf, "read_exports"))
 
 
+def p5_versions(spark: SparkSession, sf: str) -> DataFrame:
+    versions = drift.registry(table(spark, sf, "read_exports"))
+    counted = lambda action: F.size(F.filter("steps", lambda x: x["action"] == action)).cast("long").alias(f"n_{action}s")
+    return versions.select("producer", "fingerprint", "since", "n_files", counted("rename"), counted("default"))
+
+
 def p5_table(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.consistent_table(table(spark, sf, "read_exports"))
+    return drift.consistent_table(table(spark, sf, "read_exports")).withColumn("uncast", F.array_join("uncast", ","))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +74,7 @@ def p6_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_seen_ranges, p3_found, p3_bits, p3_by_month, p4_found, p5_found, p5_changes, p5_table, p6_found, p6_manifest)}
+    return {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_seen_ranges, p3_found, p3_bits, p3_by_month, p4_found, p5_found, p5_changes, p5_versions, p5_table, p6_found, p6_manifest)}
 
 
 _ACQ = r"lower(regexp_replace({}, '^[\s{{}}]+|[\s{{}}]+$', '', 'g'))"
@@ -86,7 +93,14 @@ _KEPT = f"""keyed AS (SELECT record_id, {_ACQ.format('acquisition_id')} AS acqui
 kept AS (SELECT *, rid IS NOT NULL AND row_number() OVER (PARTITION BY acquisition_id, rid ORDER BY record_id) > 1 AS again FROM keyed)"""
 
 
-_ALIASES = ", ".join(f"('{old}', '{drift.chained(old)}')" for step in drift.RENAMES.values() for old in step) + ", ('pore.pore_type', 'pore_type'), ('pore.well', 'well')"
+#: Keys of the test tables' exports and the field that each holds, written down from the tables, apart from the operator's own list.
+_FIELD_KEYS = {
+    "read_id": "read_id", "read_number": "read_number", "start": "start", "channel": "channel", "run_info": "run_info",
+    "median_before": "median_before median_before_pa", "num_samples": "n_samples num_samples sample_count length_in_samples",
+    "tracked_scaling_scale": "tracked_scaling_scale trk_scale tracked_scaling.scale", "open_pore_level": "open_pore_level open_pore_pa pore_level_open",
+    "pore_type": "pore_type pore_kind pore.pore_type", "well": "well mux pore.well", "end_reason": "end_reason read_end_reason",
+}
+_ALIASES = ", ".join(f"('{key}', '{field}')" for field, keys in _FIELD_KEYS.items() for key in keys.split() if key != field)
 _DRIFT = f"""ok AS (SELECT file_id, payload::JSON AS j FROM read_exports WHERE CASE WHEN json_valid(payload) THEN json_type(payload) END = 'OBJECT'),
 top AS (SELECT file_id, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT file_id, j, unnest(json_keys(j)) AS k FROM ok)),
 leaf AS (SELECT file_id, k AS path, v FROM top WHERE json_type(v) <> 'OBJECT' UNION ALL
@@ -98,12 +112,44 @@ files AS (SELECT file_id, lag(file_id) OVER (PARTITION BY producer ORDER BY file
 news AS (SELECT f.file_id, prev, field, paths, kind FROM files f JOIN fields USING (file_id) WHERE prev IS NOT NULL), olds AS (SELECT f.file_id, field, paths, kind FROM files f JOIN fields o ON o.file_id = f.prev)"""
 
 
+_CHANGED = """ SELECT n.file_id, n.field AS field_name, 'added' AS change_kind, NULL AS was, array_to_string(n.paths, '+') AS now FROM news n ANTI JOIN olds o ON o.file_id = n.file_id AND o.field = n.field
+UNION ALL SELECT o.file_id, o.field, 'removed', array_to_string(o.paths, '+'), NULL FROM olds o ANTI JOIN news n ON o.file_id = n.file_id AND o.field = n.field
+UNION ALL SELECT n.file_id, n.field, 'renamed', array_to_string(o.paths, '+'), array_to_string(n.paths, '+') FROM news n JOIN olds o ON o.file_id = n.file_id AND o.field = n.field AND o.paths <> n.paths
+UNION ALL SELECT n.file_id, n.field, 'retyped', o.kind, n.kind FROM news n JOIN olds o ON o.file_id = n.file_id AND o.field = n.field AND o.kind <> n.kind"""
+#: The fingerprint's text: names of fields, keys and types as a JSON list.
+_PRINTS = """prints AS (SELECT file_id, left(sha256('[' || string_agg('["' || field || '", ["' || array_to_string(paths, '", "') || '"], "' || coalesce(kind, '') || '"]', ', ' ORDER BY field) || ']'), 16) AS fingerprint FROM fields GROUP BY file_id)"""
+
+
+def _table_sql() -> str:
+    at = lambda key: "'$." + ".".join(f'"{part}"' for part in key.split(".")) + "'"
+    text = {f: "coalesce(" + ", ".join(f"json_extract_string(j, {at(k)})" for k in sorted(keys.split(), reverse=True)) + ")" for f, keys in _FIELD_KEYS.items()}
+    reason = "coalesce(" + ", ".join(f"CASE WHEN json_type(json_extract(j, {at(k)})) = 'UBIGINT' THEN [{', '.join(map(repr, END_REASONS))}][json_extract(j, {at(k)})::INT + 1] END" for k in ("end_reason", "read_end_reason")) + ")"
+    text["end_reason"] = f"coalesce({reason}, {text['end_reason']})"
+    number = "TRY_CAST(t_{0} AS DOUBLE)".format
+    whole = "CASE WHEN regexp_full_match(t_{0}, '\\s*[+-]?\\d+\\s*') THEN TRY_CAST(trim(t_{0}) AS BIGINT) WHEN TRY_CAST(t_{0} AS DOUBLE) = floor(TRY_CAST(t_{0} AS DOUBLE)) THEN TRY_CAST(TRY_CAST(t_{0} AS DOUBLE) AS BIGINT) END".format
+    cast = {"string": "t_{0}".format, "float": lambda f: number(f) + "::FLOAT", "long": whole, "int": lambda f: f"TRY_CAST({whole(f)} AS INT)", "short": lambda f: f"TRY_CAST({whole(f)} AS SMALLINT)", "boolean": lambda f: "NULL::BOOLEAN"}
+    values = [f"{cast[kind](f)} AS {f}" if f in text else f"NULL::{dict(string='VARCHAR', long='BIGINT', float='FLOAT', boolean='BOOLEAN')[kind]} AS {f}" for f, kind in drift.FIELDS.items()]
+    names = ", ".join(f"CASE WHEN t_{f} IS NOT NULL AND {f} IS NULL THEN '{f}' END" for f in drift.FIELDS if f in text)
+    known = ", ".join(f"'{k}'" for keys in _FIELD_KEYS.values() for k in keys.split())
+    return f"""WITH objects AS (SELECT rec_id, file_id, CASE WHEN CASE WHEN json_valid(payload) THEN json_type(payload) END = 'OBJECT' THEN payload::JSON END AS j FROM read_exports),
+top AS (SELECT rec_id, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT rec_id, j, unnest(json_keys(j)) AS k FROM objects)),
+leaf AS (SELECT rec_id, k AS path, v FROM top WHERE json_type(v) <> 'OBJECT' UNION ALL SELECT rec_id, k || '.' || n, json_extract(v, '$."' || n || '"') FROM (SELECT rec_id, k, v, unnest(json_keys(v)) AS n FROM top WHERE json_type(v) = 'OBJECT')),
+more AS (SELECT rec_id, '{{' || string_agg('"' || path || '":' || v::VARCHAR, ',' ORDER BY path) || '}}' AS extra FROM leaf WHERE path NOT IN ({known}) GROUP BY rec_id),
+texts AS (SELECT rec_id, file_id, j IS NOT NULL AS readable, {', '.join(f'{t} AS t_{f}' for f, t in text.items())} FROM objects),
+typed AS (SELECT *, {', '.join(v for v in values)} FROM texts)
+SELECT rec_id, file_id, readable, {', '.join(drift.FIELDS)}, concat_ws(',', {names}) AS uncast, extra FROM typed LEFT JOIN more USING (rec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p5_found": f"""WITH {_DRIFT} SELECT n.file_id, n.field AS field_name, 'added' AS change_kind FROM news n ANTI JOIN olds o ON o.file_id = n.file_id AND o.field = n.field
-UNION ALL SELECT o.file_id, o.field, 'removed' FROM olds o ANTI JOIN news n ON o.file_id = n.file_id AND o.field = n.field
-UNION ALL SELECT n.file_id, n.field, 'renamed' FROM news n JOIN olds o ON o.file_id = n.file_id AND o.field = n.field AND o.paths <> n.paths
-UNION ALL SELECT n.file_id, n.field, 'retyped' FROM news n JOIN olds o ON o.file_id = n.file_id AND o.field = n.field AND o.kind <> n.kind""",
+        "p5_found": f"WITH {_DRIFT} SELECT file_id, field_name, change_kind FROM ({_CHANGED})",
+        "p5_changes": f"""WITH {_DRIFT}, {_PRINTS}, found AS ({_CHANGED}), firsts AS (SELECT file_id, NULL AS field_name, 'first' AS change_kind, NULL AS was, NULL AS now FROM files WHERE prev IS NULL),
+every AS (SELECT * FROM found UNION ALL SELECT * FROM firsts)
+SELECT e.file_id, producer, file_seq::BIGINT AS file_seq, coalesce(fingerprint, left(sha256('[]'), 16)) AS fingerprint, field_name, change_kind, was, now FROM every e JOIN (SELECT DISTINCT file_id, producer, file_seq FROM read_exports) USING (file_id) LEFT JOIN prints USING (file_id)""",
+        "p5_versions": f"""WITH {_DRIFT}, {_PRINTS}, every AS (SELECT f.*, coalesce(fingerprint, left(sha256('[]'), 16)) AS fingerprint FROM (SELECT DISTINCT file_id, producer, file_seq FROM read_exports) f LEFT JOIN prints USING (file_id)),
+steps AS (SELECT file_id, count(*) AS n_present, count(*) FILTER (paths <> [field]) AS n_renames FROM fields GROUP BY file_id)
+SELECT producer, fingerprint, min(file_seq)::BIGINT AS since, count(*) AS n_files, max(coalesce(n_renames, 0)) AS n_renames, max({len(drift.FIELDS)} - coalesce(n_present, 0)) AS n_defaults FROM every LEFT JOIN steps USING (file_id) GROUP BY 1, 2""",
+        "p5_table": _table_sql(),
         "p2_seen_ranges": f"""WITH numbers AS (SELECT DISTINCT {_ACQ.format('run_info')} AS acquisition_id, lower(hex(read_id)) AS h, ('0x' || hex(read_id))::UHUGEINT AS v FROM read_rows WHERE octet_length(read_id) = 16)
 SELECT acquisition_id, min(h) AS range_from, max(h) AS range_to, count(*) AS n_numbers FROM (SELECT *, v - row_number() OVER (PARTITION BY acquisition_id ORDER BY v)::UHUGEINT AS g FROM numbers) GROUP BY acquisition_id, g""",
         "p1_found": f"WITH {_RANGES} SELECT acquisition_id, channel, well, before AS gap_start, s AS gap_end FROM marked WHERE s > before",
