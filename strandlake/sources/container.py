@@ -5,18 +5,22 @@ cut into several tasks by shares of its batches. Options:
 
 table: reads, signal, run_info or files (one row of metadata per file); columns: those to be read, as Spark doesn't prune
 columns of Python sources; batches: numbers of batches; recursive, pattern: of folders; paths: a JSON list of further paths;
-badFiles: fail or skip; decode: false leaves packed signal packed; splitBytes: size from which a file is cut.
+badFiles: fail or skip; decode: false leaves packed signal packed; splitBytes: size from which a file is cut; pushFilters: true lets
+filters on _file and _batch prune what is opened, which Spark allows only where spark.sql.python.filterPushdown.enabled is set.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
@@ -46,11 +50,12 @@ def _parts(ddl: str) -> dict[str, str]:
 class Opened:
     """One container, open for reading."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, reads: set[str] | None = None, signal: set[str] | None = None):
+        """reads, signal: the columns needed of these tables; None: all."""
         self.path, self.file = path, form.open_random(path)
         self.footer = form.parse_footer(self.file)
-        self.reads = self._table(form.READS)
-        self.signal = self._table(form.SIGNAL)
+        self.reads = self._table(form.READS, reads)
+        self.signal = self._table(form.SIGNAL, signal)
         found = {self._meta(r, form.KEY_IDENTIFIER) for r in (self.reads, self.signal)}
         if len(found) > 1:
             raise form.BadContainer("reads and signal are of different files")
@@ -58,12 +63,23 @@ class Opened:
         if len(self.version) != 3:
             raise form.BadContainer(f"bad version {self.version}")
         self.table_version = table_version(self.version)
-        self.packed = pa.types.is_large_binary(self.signal.schema.field("signal").type) or pa.types.is_binary(self.signal.schema.field("signal").type)
+        if self.table_version < 3:  # columns are made of others
+            self.reads = self._table(form.READS)
+        kind = self.signal_type
+        self.packed = pa.types.is_large_binary(kind) or pa.types.is_binary(kind)
 
-    def _table(self, kind: int):
+    def _table(self, kind: int, columns: set[str] | None = None):
         if kind not in self.footer.tables:
             raise form.BadContainer(f"table {kind} is missing")
-        return pa.ipc.open_file(form.table_file(self.file, self.footer.tables[kind]))
+        reader = pa.ipc.open_file(form.table_file(self.file, self.footer.tables[kind]))
+        if kind == form.SIGNAL:
+            self.signal_type = reader.schema.field("signal").type
+        names = reader.schema.names
+        if columns is None or columns >= set(names):
+            return reader
+        # what isn't needed isn't read; one column is, to tell the number of rows
+        kept = [k for k, name in enumerate(names) if name in columns] or [0]
+        return pa.ipc.open_file(form.table_file(self.file, self.footer.tables[kind]), options=pa.ipc.IpcReadOptions(included_fields=kept))
 
     @staticmethod
     def _meta(reader, key: bytes) -> str:
@@ -81,9 +97,22 @@ class Opened:
         rows = info.dictionary if isinstance(info, pa.DictionaryArray) else info
         return [pa.RecordBatch.from_struct_array(rows)]
 
+    @cached_property
     def chunk_sizes(self) -> np.ndarray:
-        n = self.signal.num_record_batches
-        return np.concatenate([np.asarray(self.signal.get_batch(i).column("samples")).astype(np.int64) for i in range(n)]) if n else np.zeros(0, np.int64)
+        table = self._table(form.SIGNAL, {"samples"})
+        n = table.num_record_batches
+        return np.concatenate([np.asarray(table.get_batch(i).column("samples")).astype(np.int64) for i in range(n)]) if n else np.zeros(0, np.int64)
+
+    @cached_property
+    def signal_rows(self) -> int:
+        """Rows of every signal batch but the last."""
+        return self._table(form.SIGNAL, {"samples"}).get_batch(0).num_rows if self.signal.num_record_batches else 0
+
+    def n_rows(self, kind: int, column: str) -> int:
+        """Of a table all of whose batches but the last have as many rows as the first; two batches are looked at."""
+        table = self._table(kind, {column})
+        n = table.num_record_batches
+        return (n - 1) * table.get_batch(0).num_rows + table.get_batch(n - 1).num_rows if n else 0
 
     def migrated(self, batch: pa.RecordBatch, needed: set[str]) -> dict[str, pa.Array]:
         """Columns of a reads batch as the newest version has them."""
@@ -95,7 +124,7 @@ class Opened:
             out |= {"num_minknow_events": zero, "num_reads_since_mux_change": zero, "time_since_mux_change": pa.array(np.zeros(n, np.float32))}
             out |= {f"{a}_scaling_{b}": nan() for a in ("tracked", "predicted") for b in ("scale", "shift")}
         if version < 2 and "num_samples" in needed:
-            sizes, refs = self.chunk_sizes(), out["signal"]
+            sizes, refs = self.chunk_sizes, out["signal"]
             flat = np.asarray(refs.flatten()).astype(np.int64)
             if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes)):
                 raise form.BadContainer("a read refers to a chunk beyond the signal table")
@@ -140,16 +169,6 @@ class ContainerReader(DataSourceReader):
         self.batches = {int(x) for x in options["batches"].split(",") if x.strip()} if options.get("batches") else None
         self.files: set[str] | None = None
 
-    def pushFilters(self, filters):
-        """Filters on _batch and _file prune what is opened; Spark still applies them."""
-        for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is not None and f.attribute == ("_batch",) and self.table != "files":
-                self.batches = values if self.batches is None else self.batches & values
-            if values is not None and f.attribute == ("_file",):
-                self.files = values if self.files is None else self.files & values
-            yield f
-
     def partitions(self):
         paths = [self.options["path"]] if self.options.get("path") else []
         paths += json.loads(self.options.get("paths", "[]"))
@@ -161,7 +180,8 @@ class ContainerReader(DataSourceReader):
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         path, part, of = partition.value
         try:
-            opened = Opened(path)
+            wanted = set(self.schema)
+            opened = Opened(path, wanted if self.table == "reads" else set(), wanted | ({"signal"} if "n_bytes" in wanted else set()) | {"samples"} if self.table == "signal" else set())
         except (form.BadContainer, pa.ArrowException, OSError):
             if self.options.get("badfiles", "fail") == "skip":
                 return
@@ -175,16 +195,11 @@ class ContainerReader(DataSourceReader):
             return
         reader = opened.reads if self.table == "reads" else opened.signal
         n = reader.num_record_batches
-        row = 0
-        for k in range(n):
-            mine = n * part // of <= k < n * (part + 1) // of and (self.batches is None or k in self.batches)
-            if not mine and self.table == "reads":
-                continue
-            batch = reader.get_batch(k)
-            if mine:
-                columns = opened.migrated(batch, set(self.schema)) if self.table == "reads" else self._chunks(opened, batch, row)
+        for k in range(n * part // of, n * (part + 1) // of):
+            if self.batches is None or k in self.batches:
+                batch = reader.get_batch(k)
+                columns = opened.migrated(batch, wanted) if self.table == "reads" else self._chunks(opened, batch, k * opened.signal_rows if "row_no" in wanted else 0)
                 yield self._out(opened, columns, k, 0, batch.num_rows)
-            row += batch.num_rows
 
     def _chunks(self, opened: Opened, batch: pa.RecordBatch, row: int) -> dict[str, pa.Array]:
         out = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -207,10 +222,9 @@ class ContainerReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([fit(columns[c], kind) for c, kind in self.schema.items()], names=list(self.schema))
 
     def _summary(self, opened: Opened) -> pa.RecordBatch:
-        rows = lambda r: sum(r.get_batch(i).num_rows for i in range(r.num_record_batches))
         row = {
             "_file": opened.path, "identifier": opened.footer.identifier, "software": opened.footer.software, "version": ".".join(map(str, opened.version)), "table_version": opened.table_version,
-            "packed": opened.packed, "n_reads": rows(opened.reads), "n_signal_rows": rows(opened.signal), "n_run_infos": sum(b.num_rows for b in opened.run_info_batches()),
+            "packed": opened.packed, "n_reads": opened.n_rows(form.READS, "read_id"), "n_signal_rows": opened.n_rows(form.SIGNAL, "samples"), "n_run_infos": sum(b.num_rows for b in opened.run_info_batches()),
             "read_batches": opened.reads.num_record_batches, "signal_batches": opened.signal.num_record_batches,
         }
         for name, kind in form.TABLES.items():
@@ -219,6 +233,18 @@ class ContainerReader(DataSourceReader):
         return pa.RecordBatch.from_pylist([{c: row[c] for c in self.schema}], pa.schema([(c, _ARROW[k]) for c, k in self.schema.items()]))
 
 
+class PushingReader(ContainerReader):
+    def pushFilters(self, filters):
+        """Filters on _batch and _file prune what is opened; Spark still applies them."""
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("_batch",) and self.table != "files":
+                self.batches = values if self.batches is None else self.batches & values
+            if values is not None and f.attribute == ("_file",):
+                self.files = values if self.files is None else self.files & values
+            yield f
+
+
 #: What the sink takes: a read a row, with its samples or packed chunks, its run information, and its output if there are several.
 def write_columns(packed_chunks: bool) -> str:
     reads = ", ".join(f"{c} {k}" for c, k in _parts(READS).items() if c != "signal")
@@ -231,65 +257,104 @@ class Written(WriterCommitMessage):
         self.files, self.reads = files, reads
 
 
+#: Outputs of tasks that write without dest.
+_PART = re.compile(r"part-\d{5}\.container")
+
+
 class ContainerWriter(DataSourceArrowWriter):
-    """One container a task, or one for each value of dest; named only when all tasks have succeeded."""
+    """One container a task, or one for each value of dest; named only when all tasks have succeeded. Everything is written to the
+    folder itself, whatever file system it is on.
+
+    overwrite replaces files of the same names; without dest, also those that an earlier write of more tasks left."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.options, self.overwrite, self.folder = options, overwrite, options["path"].removeprefix("file://").removeprefix("file:")
+        self.options, self.overwrite, self.folder = options, overwrite, options["path"]
+
+    def _open(self, path: str) -> form.ContainerFile:
+        sizes = (int(self.options.get(k, v)) for k, v in (("chunksize", 102_400), ("readsbatch", 1000), ("signalbatch", 100)))
+        return form.ContainerFile(path, self.options.get("encoding", "vbz") == "vbz", *sizes)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        os.makedirs(self.folder, exist_ok=True)
-        single = f"part-{task.partitionId():05d}.container"
+        system, folder = form.storage(self.folder)
+        system.create_dir(folder)
+        base = self.folder.rstrip("/")
+        single = f"part-{task.partitionId() if task else 0:05d}.container"
         current, file, done, reads, seen = None, None, [], 0, set()
         try:
             for batch in iterator:
-                infos = batch.column("info")
-                given = infos.is_valid().to_pylist()
-                for k, row in enumerate(batch.drop_columns(["info"]).to_pylist()):
-                    dest = row.pop("dest", None) or single
+                at = batch.schema.get_field_index("dest")
+                dests = pc.fill_null(batch.column(at), single).to_pylist() if at >= 0 else [single] * batch.num_rows
+                begins = [k for k in range(len(dests)) if k == 0 or dests[k] != dests[k - 1]]
+                for k, end in zip(begins, [*begins[1:], len(dests)], strict=True):
+                    dest = dests[k]
                     if dest != current:
                         if file:
                             file.close()
                         if dest in seen:
                             raise form.BadContainer(f"rows of {dest} aren't together")
                         seen.add(dest)
-                        current, final = dest, os.path.join(self.folder, dest)
-                        hidden = os.path.join(os.path.dirname(final), f".{os.path.basename(final)}.{task.taskAttemptId()}")
-                        os.makedirs(os.path.dirname(final), exist_ok=True)
-                        file = form.ContainerFile(hidden, self.options.get("encoding", "vbz") == "vbz", *(int(self.options.get(k, v)) for k, v in (("chunksize", 102_400), ("readsbatch", 1000), ("signalbatch", 100))))
-                        done.append((hidden, final))
-                    signal, chunks = row.pop("signal", None), row.pop("chunks", None)
-                    # a file's run information is few rows, so it is unpacked once each
-                    info = (file.infos.get(row["run_info"]) or infos[k].as_py()) if given[k] else None
-                    file.add(row, info, signal, None if chunks is None else [(c["packed"], c["samples"]) for c in chunks])
-                    reads += 1
+                        current, (inner, name) = dest, os.path.split(dest)
+                        hidden = os.path.join(inner, f".{name}.{task.taskAttemptId() if task else 0}")
+                        system.create_dir(os.path.join(folder, inner))
+                        file = self._open(f"{base}/{hidden}")
+                        done.append((hidden, dest))
+                    self._add(file, batch.slice(k, end - k))
+                    reads += end - k
             if file:
                 file.close()
         except BaseException:
             if file:
                 file.discard()
-            for hidden, _ in done:
-                if os.path.exists(hidden):
-                    os.remove(hidden)
+            self._remove([hidden for hidden, _ in done])
             raise
         return Written(done, reads)
 
+    @staticmethod
+    def _add(file: form.ContainerFile, rows: pa.RecordBatch) -> None:
+        info, named = rows.column("info"), rows.column("run_info")
+        there = pc.and_(info.is_valid(), pc.equal(pc.struct_field(info, "acquisition_id"), named)).fill_null(False)
+        if not pc.all(there, min_count=0).as_py():
+            name = named.filter(pc.invert(there))[0].as_py()
+            raise form.BadContainer(f"read names run information {name!r} that isn't given with it")
+        # a file's run information is few rows, so it is unpacked once each
+        found = named.dictionary_encode()
+        first = np.unique(np.asarray(found.indices), return_index=True)[1]
+        new = {named[int(k)].as_py(): int(k) for k in first}
+        infos = {name: info[k].as_py() for name, k in new.items() if name not in file.infos}
+        for x in infos.values():
+            x.update({c: dict(x[c]) for c in ("context_tags", "tracking_id") if x.get(c) is not None})
+        get = lambda name: rows.column(at) if (at := rows.schema.get_field_index(name)) >= 0 else None
+        chunks = get("chunks")
+        signal = get("signal") if chunks is None else None
+        if chunks is None and signal is None:
+            signal = pa.array([[]] * rows.num_rows, pa.list_(pa.int16()))
+        kept = [c for c in rows.schema.names if c in form.READS_SCHEMA.names and c not in ("signal", "num_samples")]
+        file.extend(rows.select(kept), infos, signal, chunks)
+
+    def _remove(self, names: list[str]) -> None:
+        system, folder = form.storage(self.folder)
+        for name in names:
+            if form.exists(system, at := os.path.join(folder, name)):
+                system.delete_file(at)
+
     def commit(self, messages):
+        system, folder = form.storage(self.folder)
         pairs = [p for m in messages if m for p in m.files]
-        if not self.overwrite and (there := [final for _, final in pairs if os.path.exists(final)]):
+        if not self.overwrite and (there := [final for _, final in pairs if form.exists(system, os.path.join(folder, final))]):
             self.abort(messages)
             raise FileExistsError(f"outputs exist already: {there[:3]}")
         for hidden, final in pairs:
-            os.replace(hidden, final)
+            system.move(os.path.join(folder, hidden), os.path.join(folder, final))
+        finals = {final for _, final in pairs}
+        if self.overwrite and all(map(_PART.fullmatch, finals)) and form.exists(system, folder):
+            names = [i.base_name for i in system.get_file_info(fs.FileSelector(folder))]
+            self._remove([x for x in names if _PART.fullmatch(x) and x not in finals])
 
     def abort(self, messages):
-        for m in messages:
-            for hidden, _ in m.files if m else ():
-                if os.path.exists(hidden):
-                    os.remove(hidden)
+        self._remove([hidden for m in messages if m for hidden, _ in m.files])
 
 
 class ContainerSource(DataSource):
@@ -311,7 +376,8 @@ class ContainerSource(DataSource):
         return ", ".join(f"{c} {k}" for c, k in self._columns().items())
 
     def reader(self, schema):
-        return ContainerReader(dict(self.options), self._columns())
+        kind = PushingReader if self.options.get("pushfilters", "false") == "true" else ContainerReader
+        return kind(dict(self.options), self._columns())
 
     def writer(self, schema, overwrite):
         return ContainerWriter(dict(self.options), overwrite)
@@ -328,7 +394,7 @@ class ReadStore:
     def __init__(self, spark: SparkSession, paths: str | list[str], recursive: bool = False, pattern: str = "*", bad_files: str = "fail"):
         register(spark)
         self.spark = spark
-        self.options = {"paths": json.dumps([paths] if isinstance(paths, str) else list(paths)), "recursive": str(recursive).lower(), "pattern": pattern, "badFiles": bad_files}
+        self.options = {"paths": json.dumps([paths] if isinstance(paths, str) else list(paths)), "recursive": str(recursive).lower(), "pattern": pattern, "badFiles": bad_files, "pushFilters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")}
 
     def table(self, name: str, columns: list[str] | None = None, **options: str) -> DataFrame:
         reader = self.spark.read.format("signal_container").options(table=name, **self.options, **options)

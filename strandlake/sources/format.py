@@ -73,14 +73,21 @@ class _Slice(io.RawIOBase):
         return bytes(data)
 
 
+def storage(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+
+
+def exists(system: fs.FileSystem, path: str) -> bool:
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
 def open_random(path: str) -> Any:
     """A file for random access: mapped where it is local, else by its file system."""
-    if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri(path)
-        if isinstance(system, fs.LocalFileSystem):
-            return pa.memory_map(inner)
-        return system.open_input_file(inner)
-    return pa.memory_map(path)
+    system, inner = storage(path)
+    return pa.memory_map(inner) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(inner)
 
 
 def table_file(file: Any, place: Place) -> Any:
@@ -220,20 +227,21 @@ class ContainerFile:
     beside it, appended when the file is closed. What a crash loses is the open batches."""
 
     def __init__(self, path: str, packed: bool = True, chunk: int = 102_400, reads_batch: int = 1000, signal_batch: int = 100):
-        if os.path.exists(path):
+        self.system, self.inner = storage(path)
+        if exists(self.system, self.inner):
             raise FileExistsError(path)
         self.path, self.packed, self.chunk, self.reads_batch, self.signal_batch = path, packed, chunk, reads_batch, signal_batch
         self.identifier, self.marker = str(uuid.uuid4()), uuid.uuid4().bytes
         self.meta = {KEY_VERSION: VERSION.encode(), KEY_SOFTWARE: SOFTWARE.encode(), KEY_IDENTIFIER: self.identifier.encode()}
-        folder, stem = os.path.split(path)
+        folder, stem = os.path.split(self.inner)
         self.beside = {kind: os.path.join(folder, f".{stem}.tmp-{kind}") for kind in ("reads", "run-info")}
-        self.file = open(path, "xb")
+        self.file = self.system.open_output_stream(self.inner)
         self.file.write(SIGNATURE + self.marker)
         self.signal_begin = self.file.tell()
         options = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)
         self.signal_schema = signal_schema(packed).with_metadata(self.meta)
         self.signal_writer = pa.ipc.new_file(pa.PythonFile(_Shifted(self.file), mode="w"), self.signal_schema)
-        self.open = {kind: open(at, "xb") for kind, at in self.beside.items()}
+        self.open = {kind: self.system.open_output_stream(at) for kind, at in self.beside.items()}
         self.schemas = {"reads": READS_SCHEMA.with_metadata(self.meta), "run-info": RUN_INFO_SCHEMA.with_metadata(self.meta)}
         self.writers = {kind: pa.ipc.new_file(f, self.schemas[kind], options=options) for kind, f in self.open.items()}
         self.row_no, self.chunks, self.reads, self.infos = 0, [], [], {}
@@ -241,26 +249,66 @@ class ContainerFile:
 
     def add(self, read: dict, info: dict | None, signal: Any = None, chunks: list[tuple[bytes, int]] | None = None) -> None:
         """A read with its run information, and its samples or its packed chunks with their sample counts."""
+        if info is None or read.get("run_info") != info.get("acquisition_id"):
+            raise BadContainer(f"read names run information {read.get('run_info')!r} that isn't given with it")
+        columns = {f.name: pa.array([read[f.name]], f.type.value_type if pa.types.is_dictionary(f.type) else f.type) for f in READS_SCHEMA if f.name in read and f.name not in ("signal", "num_samples")}
+        one = pa.RecordBatch.from_pydict(columns)
+        if chunks is None:
+            self.extend(one, {info["acquisition_id"]: info}, signal=pa.array([[] if signal is None else np.asarray(signal, np.int16)], pa.list_(pa.int16())))
+        else:
+            kind = pa.list_(pa.struct([("packed", pa.binary()), ("samples", pa.int64())]))
+            self.extend(one, {info["acquisition_id"]: info}, chunks=pa.array([[{"packed": data, "samples": n} for data, n in chunks]], kind))
+
+    def extend(self, reads: pa.RecordBatch, infos: dict[str, dict], signal: pa.Array | None = None, chunks: pa.Array | None = None) -> None:
+        """Reads as columns, with their samples or their packed chunks, and the run information of those whose is new to the file."""
         from .. import codec
 
+        n = reads.num_rows
+        for name in reads.column("run_info").unique().to_pylist():
+            if name not in self.infos and name not in infos:
+                raise BadContainer(f"reads name run information {name!r} that isn't given with them")
+            self._info(infos.get(name) or self.infos[name])
+        given = signal if chunks is None else chunks
+        size = np.asarray(given.value_lengths().fill_null(0)).astype(np.int64)
+        flat = given.flatten()
         if chunks is None:
-            samples = np.asarray([] if signal is None else signal, np.int16)
-            chunks = [(codec.encode(part) if self.packed else part.tolist(), len(part)) for part in (samples[i : i + self.chunk] for i in range(0, len(samples), self.chunk))]
-        elif not self.packed:
-            chunks = [(codec.decode(data, n).tolist(), n) for data, n in chunks]
-        if info is None or read.get("run_info") != info.get("acquisition_id"):
-            raise BadContainer(f"read names run information {read.get('run_info')!r} that isn't given with it")
-        self._info(info)
-        rows = []
-        for data, n in chunks:
-            self.chunks.append({"read_id": read["read_id"], "signal": data, "samples": n})
-            rows.append(self.row_no)
-            self.row_no += 1
-            if len(self.chunks) >= self.signal_batch:
-                self._flush_signal()
-        self.reads.append(read | {"signal": rows, "num_samples": sum(n for _, n in chunks)})
-        if len(self.reads) >= self.reads_batch:
-            self._flush_reads()
+            if flat.null_count:
+                raise BadContainer("signal holds nulls")
+            per = -(-size // self.chunk)
+            owner = np.repeat(np.arange(n), per)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+            begin = (np.cumsum(size) - size)[owner] + at * self.chunk
+            ends = np.r_[begin, len(flat)]
+            samples = np.diff(ends)
+            if self.packed:
+                data = codec.encode_array(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat))
+            else:
+                data = pa.LargeListArray.from_arrays(pa.array(ends), flat)
+        else:
+            per, owner = size, np.repeat(np.arange(n), size)
+            samples = np.asarray(flat.field("samples")).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+            data = flat.field("packed") if self.packed else codec.decode_array(flat.field("packed"), flat.field("samples"))
+        ids = _no_nulls(reads.column("read_id"), pa.binary(16))
+        columns = [ids.take(pa.array(owner)), data.cast(self.signal_schema.field("signal").type), pa.array(samples, pa.uint32())]
+        self.chunks.append(pa.RecordBatch.from_arrays(columns, schema=self.signal_schema))
+        refs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array((self.row_no + np.arange(len(owner))).astype(np.uint64)))
+        self.row_no += len(owner)
+        made = {"read_id": ids, "signal": refs, "num_samples": pa.array(np.bincount(owner, samples, n).astype(np.uint64))}
+        self.reads.append([made[f.name] if f.name in made else self._stored(f, reads) for f in READS_SCHEMA])
+        self._flush_signal(self.signal_batch)
+        self._flush_reads(self.reads_batch)
+
+    def _stored(self, f: pa.Field, reads: pa.RecordBatch) -> pa.Array:
+        """A column as it is stored, of words their codes."""
+        at = reads.schema.get_field_index(f.name)
+        if not pa.types.is_dictionary(f.type):
+            return _no_nulls(reads.column(at) if at >= 0 else pa.nulls(reads.num_rows, f.type), f.type)
+        words = _no_nulls(reads.column(at) if at >= 0 else pa.nulls(reads.num_rows, pa.string()), pa.string()).dictionary_encode()
+        known = self.words[f.name]
+        codes = np.array([known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()], np.int64)
+        if len(known) >= 32_767:
+            raise BadContainer(f"too many values of {f.name}")
+        return pa.array(codes[np.asarray(words.indices)].astype(np.int16))
 
     def _info(self, info: dict) -> None:
         key = info["acquisition_id"]
@@ -272,32 +320,32 @@ class ContainerFile:
         self.writers[kind].write_batch(batch)
         self.open[kind].flush()
 
-    def _flush_signal(self) -> None:
-        if self.chunks:
-            self.signal_writer.write_batch(pa.RecordBatch.from_pylist(self.chunks, self.signal_schema))
+    def _flush_signal(self, size: int, all_: bool = False) -> None:
+        if not (all_ or sum(b.num_rows for b in self.chunks) >= size):
+            return
+        for part, whole in _slices(pa.concat_batches(self.chunks) if len(self.chunks) > 1 else self.chunks[0], size) if self.chunks else ():
+            if not whole and not all_:
+                self.chunks = [part]
+                return
+            self.signal_writer.write_batch(part)
             self.file.flush()
-            self.chunks = []
+        self.chunks = []
 
-    def _flush_reads(self) -> None:
-        if not self.reads:
+    def _flush_reads(self, size: int, all_: bool = False) -> None:
+        if not (all_ or sum(len(r[0]) for r in self.reads) >= size):
             return
-        columns = []
-        for f in READS_SCHEMA:
-            values = [_filled(r.get(f.name), f.type) for r in self.reads]
-            if pa.types.is_dictionary(f.type):
-                known = self.words[f.name]
-                codes = [known.setdefault(v, len(known)) for v in values]
-                if len(known) >= 32_767:
-                    raise BadContainer(f"too many values of {f.name}")
-                columns.append(pa.DictionaryArray.from_arrays(pa.array(codes, pa.int16()), pa.array(list(known), pa.string())))
-            else:
-                columns.append(pa.array(values, f.type))
-        self._write("reads", pa.RecordBatch.from_arrays(columns, schema=self.schemas["reads"]))
+        columns = [pa.concat_arrays(x) for x in zip(*self.reads, strict=True)]
+        for part, whole in _slices(pa.RecordBatch.from_arrays(columns, names=READS_SCHEMA.names), size) if columns else ():
+            if not whole and not all_:
+                self.reads = [part.columns]
+                return
+            stored = [pa.DictionaryArray.from_arrays(c, pa.array(list(self.words[f.name]), pa.string())) if pa.types.is_dictionary(f.type) else c for f, c in zip(READS_SCHEMA, part.columns, strict=True)]
+            self._write("reads", pa.RecordBatch.from_arrays(stored, schema=self.schemas["reads"]))
         self.reads = []
 
     def close(self) -> None:
-        self._flush_signal()
-        self._flush_reads()
+        self._flush_signal(self.signal_batch, True)
+        self._flush_reads(self.reads_batch, True)
         self.signal_writer.close()
         tables = {SIGNAL: Place(self.signal_begin, self.file.tell() - self.signal_begin)}
         self._pad()
@@ -305,7 +353,7 @@ class ContainerFile:
             self.writers[kind].close()
             self.open[kind].close()
             begin = self.file.tell()
-            with open(self.beside[kind], "rb") as part:
+            with self.system.open_input_stream(self.beside[kind]) as part:
                 while block := part.read(1 << 20):
                     self.file.write(block)
             tables[number] = Place(begin, self.file.tell() - begin)
@@ -315,7 +363,7 @@ class ContainerFile:
         self.file.write(FOOTER_MAGIC + footer + len(footer).to_bytes(8, "little", signed=True) + self.marker + SIGNATURE)
         self.file.close()
         for at in self.beside.values():
-            os.remove(at)
+            self.system.delete_file(at)
 
     def _pad(self) -> None:
         self.file.write(bytes(-self.file.tell() % 8) + self.marker)
@@ -327,9 +375,22 @@ class ContainerFile:
 
     def discard(self) -> None:
         self.abandon()
-        for at in (self.path, *self.beside.values()):
-            if os.path.exists(at):
-                os.remove(at)
+        for at in (self.inner, *self.beside.values()):
+            if exists(self.system, at):
+                self.system.delete_file(at)
+
+
+def _slices(batch: pa.RecordBatch, size: int):
+    """Parts of so many rows, and whether they are whole."""
+    for k in range(0, batch.num_rows, size):
+        part = batch.slice(k, size)
+        yield part, part.num_rows == size
+
+
+def _no_nulls(values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The values in a stored type, nulls filled as the writer fills them; numbers beyond it raise (Arrow's checked cast)."""
+    found = values if values.type == kind else values.cast(kind)
+    return found.fill_null(pa.scalar(_filled(None, kind), kind)) if found.null_count else found
 
 
 def _filled(value: Any, kind: pa.DataType) -> Any:
