@@ -51,6 +51,8 @@ def _no_nan(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kind in ("float", "double") else F.col(c) for c, kind in df.dtypes])
 
 
+#: Bare identifier of an acquisition, and a read id's 32 hex digits as the canonical text, as TESTDATA.md wants keys compared and given out.
+_ACQ = r"lower(regexp_replace({}, '^[\s{{}}]+|[\s{{}}]+$', '', 'g'))".format
 _U = r"regexp_replace(lower(hex({})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')".format
 _DIGITS = r"lower(regexp_replace(regexp_replace(read_id, '^\{(.*)\}$', '\1'), '-', '', 'g'))"
 _VALID = f"regexp_full_match({_DIGITS}, '[0-9a-f]{{32}}')"
@@ -63,13 +65,13 @@ _FLOATS = ["median_before", "predicted_scaling_scale", "predicted_scaling_shift"
 @_query(f"""SELECT {_U('read_id')} AS read_id, 'batch_' || batch_id || '.container' AS filename, read_number, channel, well AS mux, end_reason,
 start::DOUBLE / nullif(sample_rate, 0) AS start_time, start AS start_sample, num_samples::DOUBLE / nullif(sample_rate, 0) AS duration, num_samples, num_minknow_events AS minknow_events, sample_rate,
 {', '.join(map(_NN, _FLOATS))}, num_reads_since_mux_change, {_NN('time_since_mux_change')}, protocol_run_id AS run_id, {_NOT_SET('sample_id', 'sample_id')}, {_NOT_SET('experiment_name', 'experiment_id')}, {_NOT_SET('flow_cell_id', 'flow_cell_id')}, pore_type, {_NN('open_pore_level')}
-FROM read_rows JOIN (SELECT DISTINCT acquisition_id, sample_rate, protocol_run_id, sample_id, experiment_name, flow_cell_id FROM run_info) i ON run_info = i.acquisition_id""")
+FROM read_rows JOIN (SELECT DISTINCT {_ACQ('acquisition_id')} AS acquisition, sample_rate, protocol_run_id, sample_id, experiment_name, flow_cell_id FROM run_info) i ON {_ACQ('run_info')} = acquisition""")
 def view_all(spark, sf):
     return _no_nan(view.view(_reads(spark, sf), _info(spark, sf), strict=False))
 
 
 @_query(f"""SELECT {_U('read_id')} AS read_id, num_samples::DOUBLE / nullif(sample_rate, 0) AS duration, sample_rate
-FROM read_rows JOIN (SELECT DISTINCT acquisition_id, sample_rate FROM run_info) i ON run_info = i.acquisition_id""")
+FROM read_rows JOIN (SELECT DISTINCT {_ACQ('acquisition_id')} AS acquisition, sample_rate FROM run_info) i ON {_ACQ('run_info')} = acquisition""")
 def view_pruned(spark, sf):
     return view.view(_reads(spark, sf), _info(spark, sf), include="sample_rate, duration, read_id", strict=False)
 
@@ -151,7 +153,7 @@ def sample_ids(spark, sf):
     return select.sample(table(spark, sf, "read_rows"), 0.1, 42).select(ids.uuid_str("read_id").alias("read_id"))
 
 
-_MAP = f"pairs AS (SELECT DISTINCT unhex(replace(read_id, '-', '')) AS id, 'acq-' || acquisition_id || '.container' AS dest FROM file_records WHERE read_id IS NOT NULL AND acquisition_id IS NOT NULL AND {_STRICT})"
+_MAP = f"pairs AS (SELECT DISTINCT unhex({_DIGITS}) AS id, 'acq-' || {_ACQ('acquisition_id')} || '.container' AS dest FROM file_records WHERE {_VALID} AND acquisition_id IS NOT NULL)"
 
 
 @_query(f"WITH {_MAP} SELECT row_id, dest FROM read_rows JOIN pairs ON id = read_id")
@@ -167,7 +169,7 @@ def subset_sizes(spark, sf):
     return routed.groupBy("dest").agg(F.count(F.lit(1)).alias("n_reads"), F.sum("num_samples").alias("n_samples"))
 
 
-@_query(f"SELECT record_id, 'acquisition_id-' || acquisition_id || '_seq_no-' || seq_no || '.container' AS dest FROM file_records WHERE read_id IS NOT NULL AND acquisition_id IS NOT NULL AND seq_no IS NOT NULL AND {_STRICT}")
+@_query(f"SELECT record_id, 'acquisition_id-' || {_ACQ('acquisition_id')} || '_seq_no-' || seq_no || '.container' AS dest FROM file_records WHERE {_VALID} AND acquisition_id IS NOT NULL AND seq_no IS NOT NULL")
 def template_dest(spark, sf):
     columns = ["acquisition_id", "seq_no"]
     rows = _stored(spark, sf).filter(ids.uuid_bin("read_id").isNotNull()).dropna(subset=columns)
@@ -185,7 +187,7 @@ def uuid_regex_filter(spark, sf):
     return table(spark, sf, "file_records").select("record_id", "read_id").dropna().filter(ids.is_strict_uuid("read_id"))
 
 
-@_query(f"SELECT {_U('read_id')} AS read_id, run_info AS acquisition_id, num_samples FROM read_rows UNION ALL SELECT CASE WHEN {_VALID} THEN {_U(f'unhex({_DIGITS})')} END, acquisition_id, num_samples FROM file_records")
+@_query(f"SELECT {_U('read_id')} AS read_id, {_ACQ('run_info')} AS acquisition_id, num_samples FROM read_rows UNION ALL SELECT CASE WHEN {_VALID} THEN {_U(f'unhex({_DIGITS})')} END, {_ACQ('acquisition_id')}, num_samples FROM file_records")
 def merge_union(spark, sf):
     reads = table(spark, sf, "read_rows").select(ids.uuid_str("read_id").alias("read_id"), acquisition_key("run_info").alias("acquisition_id"), "num_samples")
     stored = _stored(spark, sf).select(ids.uuid_str(ids.uuid_bin("read_id")).alias("read_id"), "acquisition_id", "num_samples")
@@ -208,8 +210,8 @@ def signal_sum(spark, sf):
     return aggregate.signal_sums(_signal(spark, sf)).withColumn("read_id", ids.uuid_str("read_id"))
 
 
-@_query("""SELECT n_reads, n_batches, n_samples, first_sample, last_sample, n_run_infos, n_bytes, 100 * n_bytes::DOUBLE / nullif(2 * n_stored, 0) AS percent_compressed FROM
-(SELECT count(*) AS n_reads, count(DISTINCT batch_id) AS n_batches, coalesce(sum(num_samples), 0)::BIGINT AS n_samples, min(start) AS first_sample, max(start + num_samples) AS last_sample, count(DISTINCT run_info) AS n_run_infos FROM read_rows),
+@_query(f"""SELECT n_reads, n_batches, n_samples, first_sample, last_sample, n_run_infos, n_bytes, 100 * n_bytes::DOUBLE / nullif(2 * n_stored, 0) AS percent_compressed FROM
+(SELECT count(*) AS n_reads, count(DISTINCT batch_id) AS n_batches, coalesce(sum(num_samples), 0)::BIGINT AS n_samples, min(start) AS first_sample, max(start + num_samples) AS last_sample, count(DISTINCT {_ACQ('run_info')}) AS n_run_infos FROM read_rows),
 (SELECT coalesce(sum(2 * len(signal)), 0)::BIGINT AS n_bytes, coalesce(sum(samples), 0)::BIGINT AS n_stored FROM signal_rows)""")
 def debug_summary(spark, sf):
     return aggregate.debug_summary(table(spark, sf, "read_rows"), _signal(spark, sf), ["batch_id"])
@@ -220,7 +222,7 @@ def batch_sizes(spark, sf):
     return aggregate.batch_sizes(table(spark, sf, "read_rows"), "batch_id")
 
 
-@_query("SELECT DISTINCT run_info FROM read_rows WHERE run_info IS NOT NULL")
+@_query(f"SELECT DISTINCT {_ACQ('run_info')} AS run_info FROM read_rows WHERE run_info IS NOT NULL")
 def distinct_run_infos(spark, sf):
     return aggregate.distinct_run_infos(table(spark, sf, "read_rows"))
 
@@ -273,11 +275,11 @@ def chunk_fetch(spark, sf):
     return _signal(spark, sf).select("row_no", second.alias("signal")).filter("signal IS NOT NULL").select("row_no", F.array_join("signal", ",").alias("signal"))
 
 
-@_query("""SELECT row_no, len(signal) AS n, CASE WHEN len(signal) > 0 THEN (len(signal) - 1)::DOUBLE / nullif(rate, 0) END AS last_second
-FROM signal_rows JOIN (SELECT acquisition_id, max(sample_rate) AS rate FROM run_info GROUP BY 1) USING (acquisition_id)""")
+@_query(f"""SELECT row_no, len(signal) AS n, CASE WHEN len(signal) > 0 THEN (len(signal) - 1)::DOUBLE / nullif(rate, 0) END AS last_second
+FROM signal_rows JOIN (SELECT {_ACQ('acquisition_id')} AS acquisition, max(sample_rate) AS rate FROM run_info GROUP BY 1) ON {_ACQ('acquisition_id')} = acquisition""")
 def time_axis(spark, sf):
-    rates = _info(spark, sf).groupBy("acquisition_id").agg(F.max("sample_rate").alias("rate"))
-    joined = _signal(spark, sf).join(rates, "acquisition_id")
+    rates = _info(spark, sf).groupBy(acquisition_key("acquisition_id").alias("acquisition_id")).agg(F.max("sample_rate").alias("rate"))
+    joined = _signal(spark, sf).withColumn("acquisition_id", acquisition_key("acquisition_id")).join(rates, "acquisition_id")
     return joined.select("row_no", sig.signal_length("signal").alias("n"), F.try_element_at(sig.time_axis("signal", "rate"), F.lit(-1)).alias("last_second"))
 
 
@@ -381,7 +383,7 @@ def merge_dimension(spark, sf):
     return merge.dimension_upsert(info, info).groupBy("acquisition_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@_query("SELECT DISTINCT run_info FROM read_rows WHERE run_info NOT IN (SELECT acquisition_id FROM run_info WHERE acquisition_id IS NOT NULL)")
+@_query(f"SELECT DISTINCT {_ACQ('run_info')} AS run_info FROM read_rows WHERE {_ACQ('run_info')} NOT IN (SELECT {_ACQ('acquisition_id')} FROM run_info WHERE acquisition_id IS NOT NULL)")
 def unknown_run_infos(spark, sf):
     known = _info(spark, sf).select(acquisition_key("acquisition_id").alias("run_info")).distinct()
     return aggregate.distinct_run_infos(table(spark, sf, "read_rows")).join(known, "run_info", "left_anti")
@@ -414,7 +416,7 @@ def rounded_levels(spark, sf):
 
 
 @_query(f"""WITH refs AS (SELECT row_id, unnest(signal) AS row_no FROM read_rows), sums AS (SELECT row_id, sum(len(s.signal))::BIGINT AS n, sum(list_sum(s.signal))::BIGINT AS total FROM refs JOIN signal_rows s USING (row_no) WHERE s.signal IS NOT NULL GROUP BY row_id)
-SELECT {_U('read_id')} AS read_id, read_number, coalesce(n, 0) AS num_samples, coalesce(total, 0) AS signal_sum FROM read_rows LEFT JOIN sums USING (row_id) WHERE run_info IN (SELECT acquisition_id FROM run_info)""")
+SELECT {_U('read_id')} AS read_id, read_number, coalesce(n, 0) AS num_samples, coalesce(total, 0) AS signal_sum FROM read_rows LEFT JOIN sums USING (row_id) WHERE {_ACQ('run_info')} IN (SELECT {_ACQ('acquisition_id')} FROM run_info)""")
 def container_round_trip(spark, sf):
     """Reads written as containers into the shared folder, and read from there again."""
     reads = table(spark, sf, "read_rows").withColumn("run_info", acquisition_key("run_info"))
