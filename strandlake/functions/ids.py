@@ -28,6 +28,14 @@ def uuid_bin(text: Column | str) -> Column:
     return F.when(digits.rlike("^[0-9A-Fa-f]{32}$"), F.unhex(digits))
 
 
+def canonical(text: Column | str) -> Column:
+    """An id written as text in its canonical form, as uuid_str(uuid_bin(text)) gives it, without leaving the text."""
+    text = F.trim(F.col(text) if isinstance(text, str) else text)
+    digits = F.regexp_replace(F.regexp_extract(text, r"^\{?([0-9A-Fa-f-]*)\}?$", 1), "-", "")
+    braces = F.startswith(text, F.lit("{")) == F.endswith(text, F.lit("}"))
+    return F.when(braces & (F.length(digits) == 32), F.lower(F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")))
+
+
 def is_strict_uuid(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(text.rlike(STRICT), F.lit(False))

@@ -105,11 +105,10 @@ def same_record(left: dict[str, Column], right: dict[str, Column]) -> Column:
 
 def dictionary_index(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Adds name_index, the number of the value among the sorted distinct values, for columns of few values."""
-    from pyspark.sql import Window
-
+    from ..operators.select import bucketed
     from ..session import broadcast_if_small, checkpoint
 
     for name in names:
-        values = checkpoint(df.select(F.col(name).alias("_v")).dropna().distinct().withColumn(f"{name}_index", F.row_number().over(Window.orderBy("_v")).cast("long") - 1))
+        values = checkpoint(bucketed(df.select(F.col(name).alias("_v")).dropna().distinct(), 1, ["_v"]).select("_v", F.col("position").alias(f"{name}_index")))
         df = df.join(broadcast_if_small(values), F.col(name) == F.col("_v"), "left").drop("_v")
     return df

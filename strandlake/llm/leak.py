@@ -1,15 +1,15 @@
 """Passages of evaluation material inside a corpus of mails.
 
-Q-gram filtering: a text that holds a passage, or a good part of it, with few edits shares with it many q-grams (of
+Q-gram filtering: a text that holds L letters of a passage with k edits shares with it at least L - Q + 1 - k * Q q-grams (of
 letters and digits, whatever stands between) on nearby diagonals, that is with about one distance between their places.
-Shared q-grams are counted in overlapping bands of diagonals; bands with fewer than the edit budget allows are dropped,
-and what remains is verified by a banded local alignment, which measures how much of the passage is there.
+Shared q-grams are counted in overlapping bands of diagonals. Bands with fewer than the smallest leak of the passage must share
+under its budget of one edit in EDIT_EVERY letters are dropped, and what remains is verified by a banded local alignment,
+which measures how much of the passage is there. So no leak within the budget is lost, as long as its edits shift it by less than half a band.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .mail import QUOTE, all_texts, newlines
 
 #: Letters and digits of a q-gram.
@@ -28,12 +29,13 @@ HALF_BAND = 48
 PART, LEAST_WORDS = 0.4, 30
 #: Words that an altered end of a copied passage may cost in the alignment.
 END = 2
-#: Of the q-grams of the smallest leak, the part that its edits may destroy.
-EDIT_BUDGET = 0.72
-#: Items held against the corpus at once; more are taken in several passes.
-ITEMS = 5000
-#: Letters and digits of texts that are searched at once, and pairs aligned at once.
-CHUNK, PAIRS = 2_000_000, 256
+#: The edit budget: one edited letter in so many, that is k = L // EDIT_EVERY for a leak of L letters.
+EDIT_EVERY = 22
+#: Items in one index, and indexes that a task holds at once. More items than both allow are searched in further passes over the letters
+#: of the corpus, which are then kept in the shared folder, so that no mail is parsed twice.
+ITEMS, INDEXES = 5000, 4
+#: Letters and digits of texts that are searched at once, pairs of places that are looked at at once, and pairs aligned at once.
+CHUNK, HITS, PAIRS = 2_000_000, 4_000_000, 256
 #: Alignment: a matching character counts 1, each edit takes this off.
 EDIT = 2
 #: Table of the q-grams' hashes: bits of its index.
@@ -61,17 +63,37 @@ def letters(text: str) -> np.ndarray:
     return codes[codes > 0]
 
 
-def passages(items: list[tuple[int, str | None]]) -> list[tuple[int, str]]:
-    """item_id and passage: the item's text without instructions (short lines that several items share) and questions."""
-    lines = {i: [x.strip() for x in newlines(t or "").split("\n") if x.strip()] for i, t in items}
-    shared = Counter(x for found in lines.values() for x in set(found))
-    out = []
-    for item, found in lines.items():
-        kept = [x for x in found if (shared[x] < 3 or len(x.split()) >= LEAST_WORDS) and not x.lower().startswith("question:") and not re.search(r"\bA\).*\bB\)", x)]
-        text = " ".join(kept or sorted(found, key=len)[-1:])
-        if len(text.split()) >= LEAST_WORDS:
-            out.append((item, text))
-    return out
+def _lines(text: str | None) -> list[str]:
+    return [x.strip() for x in newlines(text or "").split("\n") if x.strip()]
+
+
+def passage_of(found: list[str], shared: set[str]) -> str | None:
+    """The passage of an item of these lines: without instructions (short lines that several items share) and questions; null if it
+    has too few words to leak."""
+    kept = [x for x in found if (x not in shared or len(x.split()) >= LEAST_WORDS) and not x.lower().startswith("question:") and not re.search(r"\bA\).*\bB\)", x)]
+    text = " ".join(kept or sorted(found, key=len)[-1:])
+    return text if len(text.split()) >= LEAST_WORDS else None
+
+
+def passages(items: DataFrame) -> DataFrame:
+    """item_id and passage of each item that has one. Lines are counted over all items."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_lines(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["item_id", "lines"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [passage_of(x, set(s or ())) for x, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["item_id", "passage"])
+
+    picked = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    split = checkpoint(picked.mapInArrow(lines, "item_id long, lines array<string>").withColumn("row", F.monotonically_increasing_id()))
+    each = split.select("row", F.explode(F.array_distinct("lines")).alias("line"))
+    often = each.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("line")
+    shared = each.join(often, "line").groupBy("row").agg(F.collect_list("line").alias("shared"))
+    return split.join(shared, "row", "left").select("item_id", "lines", "shared").mapInArrow(cut, "item_id long, passage string").filter("passage IS NOT NULL")
 
 
 class Index(NamedTuple):
@@ -120,6 +142,20 @@ def index(found: list[tuple[int, str]]) -> Index:
     return Index(np.array([i for i, _ in found], np.int64), join(codes).astype(np.uint8), start, join(words), np.array(n_words, np.int64), distinct, np.r_[first, len(every)], places[order], table)
 
 
+def least_shared(length: np.ndarray) -> np.ndarray:
+    """The lemma: q-grams that a leak of so many letters shares with its passage at least, within the edit budget."""
+    return np.maximum(length - Q + 1 - Q * (length // EDIT_EVERY), 1)
+
+
+def _parts(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of places with about HITS hits together, at least one place each."""
+    total, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, side="right")))
+        yield a, b
+        a = b
+
+
 def candidates(texts: list[np.ndarray], ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, item and lowest diagonal (place in the text less place in the passage) of bands that keep the lemma's bound."""
     size = np.array([len(t) for t in texts], np.int64)
@@ -136,16 +172,23 @@ def candidates(texts: list[np.ndarray], ix: Index) -> tuple[np.ndarray, np.ndarr
     text = np.searchsorted(begin, at, side="right") - 1
     inside = at + Q <= begin[text] + size[text]  # no q-gram runs over the end of its text
     at, slot, text = at[inside], slot[inside], text[inside]
-    n = ix.first[slot + 1] - ix.first[slot]
-    hit = np.repeat(ix.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    place = ix.places[hit]
-    item = np.searchsorted(ix.start, place, side="right") - 1
     longest = int((ix.start[1:] - ix.start[:-1]).max())
-    text, at = np.repeat(text, n), np.repeat(at, n)
-    diagonal = (at - begin[text]) - (place - ix.start[item]) + longest
     cells = int(size.max() + longest) // HALF_BAND + 2
-    key = (text * len(ix.item_ids) + item) * cells + diagonal // HALF_BAND
-    keys, shared = np.unique(key, return_counts=True)
+    n = ix.first[slot + 1] - ix.first[slot]
+    keys, shared = none, none
+    # a q-gram that very many passages share is met with all of them, part by part, so that only counts are kept
+    for a, b in _parts(n):
+        times = n[a:b]
+        hit = np.repeat(ix.first[slot[a:b]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        place = ix.places[hit]
+        item = np.searchsorted(ix.start, place, side="right") - 1
+        of, where = np.repeat(text[a:b], times), np.repeat(at[a:b], times)
+        diagonal = (where - begin[of]) - (place - ix.start[item]) + longest
+        key, counted = np.unique((of * len(ix.item_ids) + item) * cells + diagonal // HALF_BAND, return_counts=True)
+        if len(keys):
+            key, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counted = np.bincount(back, np.concatenate([shared, counted])).astype(np.int64)
+        keys, shared = key, counted
     both = shared.copy()
     follows = keys[1:] == keys[:-1] + 1
     both[:-1] += np.where(follows, shared[1:], 0)
@@ -153,13 +196,13 @@ def candidates(texts: list[np.ndarray], ix: Index) -> tuple[np.ndarray, np.ndarr
     item, text = pair % len(ix.item_ids), pair // len(ix.item_ids)
     length = ix.start[item + 1] - ix.start[item]
     smallest = np.maximum(PART, LEAST_WORDS / np.maximum(ix.n_words[item], LEAST_WORDS)) * length
-    fine = both >= np.maximum((smallest - Q + 1) * (1 - EDIT_BUDGET), 1)
+    fine = both >= least_shared(smallest)
     # a band seen on its own and as the second half of one before is looked at once, where it is fullest
     worse = np.zeros(len(keys), bool)
     near = (pair[1:] == pair[:-1]) & (keys[1:] - keys[:-1] <= 1)
     worse[1:] |= near & (both[1:] <= both[:-1])
     worse[:-1] |= near & (both[:-1] < both[1:])
-    fine &= ~worse | (both >= 2 * np.maximum(smallest * (1 - EDIT_BUDGET), 1))
+    fine &= ~worse | (both >= 2 * least_shared(smallest))
     return text[fine], item[fine], (keys[fine] % cells) * HALF_BAND - longest
 
 
@@ -225,34 +268,65 @@ def search(docs: list[tuple[int, list[np.ndarray]]], ix: Index) -> list[tuple[in
     return [(doc, i, n) for (doc, i), n in best.items()]
 
 
+def _searched(docs: Iterator[tuple[int, list[np.ndarray]]], indexes: list[Index]) -> Iterator[pa.RecordBatch]:
+    """Documents' letters, searched some at a time."""
+
+    def given(held: list) -> pa.RecordBatch:
+        found = [x for ix in indexes for x in search(held, ix)]
+        return pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_words"), x, strict=True)) for x in found], _FOUND)
+
+    held, size = [], 0
+    for doc, texts in docs:
+        held.append((doc, texts))
+        size += sum(map(len, texts))
+        if size >= CHUNK:
+            yield given(held)
+            held, size = [], 0
+    if held:
+        yield given(held)
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id and n_words (of the passage, as aligned) of each document that holds an item's passage, or at
     least PART of it and LEAST_WORDS words.
 
-    The items are a stated query set: they are held against all documents, in blocks of ITEMS. Null and empty texts hold
-    nothing, items without a passage of LEAST_WORDS words leak nowhere. Texts of any length are searched whole. A repeated
-    doc_id gives a pair for each of its rows that holds it."""
+    The items are a stated query set: they are held against all documents, ITEMS * INDEXES of them in one pass; so many come to the
+    driver at once. Null and empty texts hold nothing, items without a passage of LEAST_WORDS words leak nowhere. Texts of any length
+    are searched whole. A repeated doc_id gives a pair for each of its rows that holds it."""
     spark = documents.sparkSession
-    picked = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
-    found = passages([tuple(r) for r in picked.toLocalIterator()])
+    found = checkpoint(passages(items))
+    n = found.count()
+    passes = max(1, -(-n // (ITEMS * INDEXES)))
+    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield doc, [letters(t) for t in all_texts(text.as_py())]
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for batch in batches:
+            for doc, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield doc, [np.frombuffer(t, np.uint8) for t in texts]
+
+    def letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = list(parsed([batch]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t.tobytes() for t in texts] for _, texts in docs], pa.list_(pa.binary()))], names=["doc_id", "letters"])
+
+    read, source = parsed, picked
+    if passes > 1:
+        read, source = stored, checkpoint(picked.mapInArrow(letters_of, "doc_id long, letters array<binary>"))
     out = None
-    for k in range(0, max(len(found), 1), ITEMS):
-        ix = spark.sparkContext.broadcast(index(found[k : k + ITEMS]))
-
-        def run(batches: Iterator[pa.RecordBatch], ix=ix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                docs, size, found = [], 0, []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    texts = [letters(t) for t in all_texts(text.as_py())]
-                    docs.append((doc, texts))
-                    size += sum(map(len, texts))
-                    if size >= CHUNK:
-                        found += search(docs, ix.value)
-                        docs, size = [], 0
-                found += search(docs, ix.value)
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "n_words"), x, strict=True)) for x in found], _FOUND)
-
-        part = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, n_words long")
+    for k in range(passes):
+        block = found.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else found
+        rows = sorted(tuple(r) for r in block.toLocalIterator())
+        held = spark.sparkContext.broadcast([index(rows[a : a + ITEMS]) for a in range(0, max(len(rows), 1), ITEMS)])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            return _searched(read(batches), held.value)
+
+        part = source.mapInArrow(run, "doc_id long, item_id long, n_words long")
         out = part if out is None else out.unionByName(part)
     return out
 

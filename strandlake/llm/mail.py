@@ -111,7 +111,6 @@ _QUOTED = re.compile(rf"^{QUOTE}[^\n]*\n?", re.M)
 _FORWARDED = re.compile(r"^[ \t]*-{3,} ?(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|mensaje original|message d'origine)\b.*", re.I | re.M | re.S)
 _ATTRIBUTION = re.compile(r"^(?:[^\n]*(?:\n[^\n]*)?\b(?:wrote|schrieb|écrit|escribió)\b[^\n]{0,80}:|[^\n]*(?:пише|написав|писав|さんは書きました)[^\n]{0,60}[:：])[ \t]*(?:\n|\Z)", re.M)
 _SIGNATURE = re.compile(r"^(?:--|_{5,}|-{5,}|\*{5,}|={5,})[ \t]*(?:\n|\Z)(?s:.*)", re.M)
-_DISCLAIMER = re.compile(r"confidential|by mistake|must not copy|meant only for|as private to|delete it|not the intended|privileged", re.I)
 _LISTED = re.compile(r"[ \t]*(?:[-*•–+o] |\d{1,3}[.)] |\d{4}-\d\d-\d\d[ T]\d\d:)")
 _SEPARATOR = re.compile(r"[,;\t|]")
 _CELL = re.compile(r"[A-Za-z0-9_ .-]*")
@@ -130,11 +129,12 @@ def _listed(line: str) -> bool:
     return bool(at and _CELL.fullmatch(line, 0, at.start()) and _SEPARATOR.search(line, at.end()))
 
 
-def own_prose(text: str | None) -> str:
-    """The author's own prose: of the first text that isn't attached, without quoted and forwarded mail, greetings,
-    signature, disclaimers, log lines and lists. Empty for null and empty texts."""
+def paragraphs(text: str | None) -> list[str]:
+    """The author's own paragraphs: of the first text that isn't attached, without quoted and forwarded mail, greetings,
+    signature, log lines and lists. None for null and empty texts. A disclaimer is one of them: it is told by its standing in
+    other mails too, see reading.prose."""
     if not text:
-        return ""
+        return []
     body, fallback = None, None
     for part in parts(newlines(text)):
         if part.attached:
@@ -146,15 +146,13 @@ def own_prose(text: str | None) -> str:
             fallback = part.text
     body = body if body is not None else fallback
     if not body:
-        return ""
+        return []
     body = _QUOTED.sub("\n", body)
     body = _FORWARDED.sub("", body)
     body = _ATTRIBUTION.sub("\n", body)
     body = _SIGNATURE.sub("", body)
     kept = []
     for paragraph in re.split(r"\n[ \t]*\n", body):
-        if _DISCLAIMER.search(paragraph):
-            continue
         lines = [x for x in paragraph.split("\n") if x.strip() and not _listed(x)]
         if not kept and lines and _GREETING.match(lines[0]) and len(lines[0].split()) <= 6:
             lines = lines[1:]
@@ -163,7 +161,12 @@ def own_prose(text: str | None) -> str:
         lines = [x for x in lines if _WORD.search(x)]
         if lines:
             kept.append("\n".join(lines))
-    return "\n\n".join(kept)
+    return kept
+
+
+def own_prose(text: str | None) -> str:
+    """The author's own paragraphs as one text, a disclaimer among them."""
+    return "\n\n".join(paragraphs(text))
 
 
 def words(text: str) -> list[str]:

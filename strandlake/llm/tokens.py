@@ -15,8 +15,9 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -27,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters after which a block of texts is closed. A longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
+#: Ids after which a block of encoded texts is closed.
+BLOCK_IDS = 2_000_000
 
 
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -145,18 +148,76 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, block_chars: int
     return both.applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and text from doc_id and ids, by the table of token bytes (a row per token of the vocabulary)."""
-    by_id = {rank: token for token, rank in ranks(vocabulary).items()}
-    table = encoded.sparkSession.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
+_ID_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("places", pa.binary()), ("tokens", pa.list_(pa.int32()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = table.value.__getitem__
-            texts = [b"".join(map(of, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+def _id_blocks(batches: Iterator[pa.RecordBatch], block_ids: int) -> Iterator[pa.RecordBatch]:
+    """Texts given as ids, in blocks: the distinct ids of a block once, and every id as a place among them."""
+    from pyspark import TaskContext
+
+    number = count(TaskContext.get().partitionId() << 32)
+    docs, lists, size = [], [], 0
+
+    def block() -> pa.RecordBatch:
+        ids = pa.concat_arrays(lists)
+        tokens, places = np.unique(np.asarray(ids.flatten()), return_inverse=True)
+        lengths = np.asarray(ids.value_lengths().fill_null(0))
+        packed = zstandard.ZstdCompressor(level=3).compress(places.astype(np.uint32).tobytes())
+        columns = [[next(number)], [pa.concat_arrays(docs).to_pylist()], [lengths], [packed], [tokens]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ID_BLOCK, strict=True)], schema=_ID_BLOCK)
+
+    for batch in batches:
+        ids = batch.column(1)
+        # a text is never cut, so blocks end behind the one that fills them
+        ends = np.cumsum(np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            done = ends[begin - 1] if begin else 0
+            end = min(int(np.searchsorted(ends, done + block_ids - size)) + 1, batch.num_rows)
+            docs.append(batch.column(0).slice(begin, end - begin))
+            lists.append(ids.slice(begin, end - begin))
+            size += int(ends[end - 1] - done)
+            begin = end
+            if size >= block_ids:
+                yield block()
+                docs, lists, size = [], [], 0
+    if docs:
+        yield block()
+
+
+def _reassemble_text(blocks: pa.Table, coded: pa.Table) -> pa.Table:
+    """The texts of a block, from its places and the bytes of its tokens."""
+    doc_ids, lengths = blocks["doc_ids"][0].values, np.asarray(blocks["lengths"][0].values)
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(blocks["places"][0].as_py()), np.uint32)
+    tokens = coded["bytes"].combine_chunks().take(pa.array(np.argsort(np.asarray(coded["place"]))))
+    flat, size = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8), np.asarray(pc.binary_length(tokens)).astype(np.int64)
+    begin, n = np.cumsum(size) - size, size[places]
+    ends = np.cumsum(n)
+    raw = flat[np.repeat(begin[places] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    closes = np.r_[0, ends][np.r_[0, np.cumsum(lengths)]]
+    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(closes[:-1], closes[1:], strict=True)]
+    return pa.table({"doc_id": doc_ids, "text": pa.array(texts, pa.string())})
+
+
+def token_bytes(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
+    """token and bytes, a row per token of the vocabulary."""
+    return spark.createDataFrame(((rank, bytearray(token)) for token, rank in ranks(vocabulary).items()), "token int, bytes binary")
+
+
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """doc_id and text from doc_id and ids, by a join of each block's distinct ids with the table of token bytes.
+
+    No ids, and null, give an empty text; ids that the vocabulary doesn't have add nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _id_blocks(batches, block_ids)
+
+    blocks = checkpoint(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "block long, doc_ids array<long>, lengths array<int>, places binary, tokens array<int>"))
+    tokens = blocks.select("block", F.posexplode("tokens").alias("place", "token"))
+    # as many rows as the vocabulary has
+    coded = tokens.join(F.broadcast(token_bytes(encoded.sparkSession, vocabulary)), "token", "left").select(F.col("block").alias("of_block"), "place", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    both = blocks.drop("tokens").groupBy("block").cogroup(coded.groupBy("of_block"))
+    return both.applyInArrow(_reassemble_text, "doc_id long, text string")
 
 
 def round_trip(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

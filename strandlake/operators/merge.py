@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..functions.keys import acquisition_key
+from ..session import broadcast_if_small, checkpoint
 from .select import repeated_ids
 
 
@@ -47,6 +48,19 @@ def check_references(reads: DataFrame, run_info: DataFrame) -> None:
         raise BrokenReference(f"reads name run information that isn't there: {[r[0] for r in bad]}")
 
 
+def with_run_info(reads: DataFrame, run_info: DataFrame, strict: bool = True) -> DataFrame:
+    """reads with info, a struct of the run information that each names; acquisitions are compared as bare identifiers.
+
+    Where an acquisition has several rows, one with the smallest values counts. An acquisition that isn't there, null too, raises
+    BrokenReference, or, if not strict, gives a null info."""
+    rows = run_info.select(acquisition_key("acquisition_id").alias("_a"), F.struct(*run_info.columns).alias("info")).dropna(subset=["_a"])
+    if strict:
+        check_references(reads.select(acquisition_key("run_info").alias("run_info")), rows.select(F.col("_a").alias("acquisition_id")))
+    order = F.to_json("info")
+    one = checkpoint(rows.groupBy("_a").agg(F.min_by("info", order).alias("info")))
+    return reads.join(broadcast_if_small(one, 20_000), acquisition_key(reads["run_info"]) == F.col("_a"), "left").drop("_a")
+
+
 def dimension_upsert(dimension: DataFrame, rows: DataFrame) -> DataFrame:
     """Dimension with those of rows added that it has not yet."""
     return merge_dimension([dimension, rows])

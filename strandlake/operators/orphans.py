@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import acquisition_key
 from ..session import broadcast_if_small, checkpoint, repartitioned
 from .ordered_scan import Scan, column, ints, key_of, ordered_scan, running_max, starts
+from .select import numbered
 
 #: Keys in one bitmap, and its bytes before compression.
 BITS = 8192
@@ -36,15 +37,7 @@ def dictionary(keys: DataFrame) -> DataFrame:
     """Dense integers (from 0) for the distinct values of the only column: value, key_id."""
     name = keys.columns[0]
     ordered = keys.dropna().distinct().select(F.col(name).alias("value")).sortWithinPartitions("value")
-    # kept with their places: partitions are numbered otherwise where this stands in a union
-    placed = checkpoint(ordered.select("value", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
-    sizes, total = sorted(tuple(r) for r in placed.groupBy("pid").count().collect()), 0  # one row a partition
-    before = []
-    for pid, n in sizes:
-        before.append((pid, total))
-        total += n
-    offsets = F.broadcast(keys.sparkSession.createDataFrame(before, "pid int, before long"))
-    return placed.join(offsets, "pid").select("value", (F.col("place") + F.col("before")).alias("key_id"))
+    return numbered(ordered, "key_id")
 
 
 def _micros(at: str) -> Column:

@@ -7,8 +7,8 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import uuid_bin, uuid_str
-from ..session import broadcast_if_small, checkpoint
+from ..functions.ids import canonical, uuid_bin
+from ..session import broadcast_if_small, checkpoint, repartitioned
 from .merge import DuplicateReads
 from .select import MissingReads
 
@@ -51,7 +51,7 @@ def templated(template: str, columns: list[str], unused_ok: bool = False) -> Col
 def mapping_of_table(table: DataFrame, columns: list[str], read_id: str = "read_id", template: str | None = None, unused_ok: bool = False) -> DataFrame:
     """read_id (text) and dest from a table with a row per read. Ids are told by their 32 hex digits and given out in the
     canonical form; rows with nulls and with what is no id are dropped."""
-    named = table.select(uuid_str(uuid_bin(read_id)).alias("_id"), *columns).dropna()
+    named = table.select(canonical(read_id).alias("_id"), *columns).dropna()
     return named.select(F.col("_id").alias("read_id"), templated(template or default_template(columns), columns, unused_ok).alias("dest"))
 
 
@@ -83,6 +83,20 @@ def filter_ids(reads: DataFrame, ids: DataFrame, missing_ok: bool = False, key:
     return reads.join(broadcast_if_small(wanted), key, "left_semi")
 
 
-def routed_for_writing(routed: DataFrame) -> DataFrame:
-    """One output in one partition and after the other, so a task holds one open file at a time."""
-    return routed.repartition("dest").sortWithinPartitions("dest")
+#: Reads in one container; an output with more is written as several.
+READS_A_FILE = 400_000
+
+
+def routed_for_writing(routed: DataFrame, reads_a_file: int = READS_A_FILE) -> DataFrame:
+    """One output in one partition and after the other, so a task holds one open file at a time.
+
+    An output of more than reads_a_file rows becomes as many containers as it fills, numbered before the extension
+    (x.container: x-00000.container and so on), so that no output is written by one task however large it is."""
+    sizes = checkpoint(routed.groupBy("dest").agg(F.count(F.lit(1)).alias("_n"))).select(F.col("dest").alias("_dest"), F.ceil(F.col("_n") / reads_a_file).cast("int").alias("_of"))
+    large = sizes.filter("_of > 1")
+    if not large.isEmpty():
+        split = routed.join(broadcast_if_small(large), F.col("dest").eqNullSafe(F.col("_dest")), "left")
+        number = F.format_string("-%05d", F.pmod(F.monotonically_increasing_id(), F.col("_of")))
+        stem, ending = F.regexp_extract("dest", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("dest", r"^(.*?)(\.[^./]*)?$", 2)
+        routed = split.withColumn("dest", F.when(F.col("_of").isNull(), F.col("dest")).otherwise(F.concat(stem, number, ending))).drop("_dest", "_of")
+    return repartitioned(routed, "dest").sortWithinPartitions("dest")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid_bin
-from ..session import broadcast_if_small, checkpoint
+from ..session import checkpoint, partitions_for
 
 
 class MissingReads(ValueError):
@@ -39,10 +39,12 @@ def select_reads(reads: DataFrame, selection: DataFrame, key: str = "read_id", f
     Where rows of one file share an id, only the first in the order (of the file) is hit, so with k files it comes k times.
     Null ids are in no row and no selection. strict raises MissingReads if an id is nowhere. Columns whose names clash with the
     selection's don't matter. The rows come in no order: see storage_order."""
-    counts = checkpoint(selection_counts(selection))
-    if strict and (n := missing(reads, counts, key).count()):
-        raise MissingReads(f"{n} requested reads were not found")
-    side = broadcast_if_small(counts)
+    side = selection_counts(selection)
+    if strict:
+        side = checkpoint(side)
+        if n := missing(reads, side, key).count():
+            raise MissingReads(f"{n} requested reads were not found")
+    # a small selection is broadcast once its size is known, when it has been counted
     hits = reads.join(side, reads[key] == side["_id"])
     if order:
         row = F.struct(*[F.col(c) for c in hits.columns])
@@ -70,15 +72,27 @@ def at_places(reads: DataFrame, batches: list[int] | None = None, rows: list[int
 def bucketed(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Numbers rows in the order, and gives each the number of its bucket of so many rows. Partition sizes are counted
     once, so no window over all rows is needed."""
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    n = partitions_for(rows)
+    ranged = rows.repartitionByRange(n, *order) if n else rows.repartitionByRange(*order)
+    at = numbered(ranged.sortWithinPartitions(*order), "position")
+    return at.withColumn("bucket", F.floor(F.col("position") / size).cast("long"))
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows with their number (from 0) in the order of partitions and of the rows within them."""
     placed = checkpoint(ordered.withColumns({"_pid": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-    sizes = dict(placed.groupBy("_pid").count().collect())  # one row a partition
     before, total = [], 0
-    for pid in range(max(sizes, default=0) + 1):
-        before.append(total)
-        total += sizes.get(pid, 0)
-    at = F.col("_place") + F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_pid") + 1)
-    return placed.withColumn("position", at).withColumn("bucket", F.floor(F.col("position") / size).cast("long")).drop("_pid", "_place")
+    for pid, n in sorted(tuple(r) for r in placed.groupBy("_pid").count().collect()):  # one row a partition
+        before.append((pid, total))
+        total += n
+    offsets = F.broadcast(ordered.sparkSession.createDataFrame(before, "_pid int, _before long"))
+    return placed.join(offsets, "_pid").withColumn(name, F.col("_place") + F.col("_before")).drop("_pid", "_place", "_before")
+
+
+def paths_of(reads: DataFrame, selection: DataFrame, key: str = "read_id", file: str = "_file") -> DataFrame:
+    """The files that hold the ids of the selection's first column: key and file, each pair once. Ids that are nowhere have none."""
+    wanted = selection.select(F.col(selection.columns[0]).alias(key)).dropna().distinct()
+    return reads.select(key, file).join(wanted, key, "left_semi").distinct()
 
 
 def repeated_ids(reads: DataFrame, key: str = "read_id") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import format as form
@@ -14,7 +16,8 @@ from . import format as form
 def recover_file(path: str, output: str, cleanup: bool = False) -> dict:
     """Writes a container of the whole batches that can be read of an unclosed one and of the hidden files beside it.
 
-    A read is saved if all chunks it refers to were; a file without a readable signal or reads table raises BadContainer.
+    A read is saved if all chunks it refers to were; a file without a readable signal or reads table, or of an older version, raises
+    BadContainer.
     cleanup removes the damaged files afterwards."""
     folder, stem = os.path.split(path)
     beside = {kind: os.path.join(folder, f".{stem}.tmp-{kind}") for kind in ("reads", "run-info")}
@@ -32,23 +35,39 @@ def recover_file(path: str, output: str, cleanup: bool = False) -> dict:
         if found is None:
             raise form.BadContainer(f"{kind} can't be read: {why}")
         errors += [why] if why else []
+    if parts["reads"] and parts["reads"][0].schema.names != form.READS_SCHEMA.names:
+        raise form.BadContainer("the reads table is of an older version: update the file before it is recovered")
     packed = not pa.types.is_large_list(schema.field("signal").type)
-    signal = [row for b in chunks for row in b.to_pylist()]
+    signal = pa.Table.from_batches(chunks, schema)
     infos = {row["acquisition_id"]: row for b in parts["run-info"] for row in b.to_pylist()}
     out = form.ContainerFile(output, packed)
-    lost = 0
+    saved = lost = 0
     for batch in parts["reads"]:
-        for row in batch.to_pylist():
-            refs = row.pop("signal")
-            info = infos.get(row["run_info"])
-            if info is None or any(r >= len(signal) for r in refs):
-                lost += 1
-                continue
-            if packed:
-                out.add(row, info, chunks=[(signal[r]["signal"], signal[r]["samples"]) for r in refs])
-            else:
-                out.add(row, info, signal=[x for r in refs for x in signal[r]["signal"]])
-    counts = {"n_signal_rows": len(signal), "n_run_infos": len(infos), "n_reads": sum(b.num_rows for b in parts["reads"]) - lost, "n_lost": lost, "errors": "; ".join(errors)}
+        refs = batch.column("signal")
+        flat, per = np.asarray(refs.flatten()).astype(np.int64), np.asarray(refs.value_lengths().fill_null(0))
+        names = batch.column("run_info").cast(pa.string())
+        beyond = np.bincount(np.repeat(np.arange(len(per)), per), flat >= signal.num_rows, len(per)) > 0
+        whole = ~beyond & np.asarray(pc.is_in(names, pa.array(list(infos), pa.string())))
+        lost += int((~whole).sum())
+        saved += int(whole.sum())
+        if not whole.any():
+            continue
+        kept = pa.array(np.flatnonzero(whole))
+        used = signal.take(pa.array(flat[np.repeat(whole, per)]))
+        ends = np.r_[0, np.cumsum(per[whole])]
+        data, samples = used["signal"].combine_chunks(), used["samples"].combine_chunks()
+        data = data.storage if isinstance(data, pa.ExtensionArray) else data
+        columns = {c: batch.column(c) for c in batch.schema.names if c not in ("signal", "num_samples")}
+        columns = {c: (x.storage if isinstance(x, pa.ExtensionArray) else x).take(kept) for c, x in columns.items()}
+        columns = {c: x.cast(pa.string()) if pa.types.is_dictionary(x.type) else x for c, x in columns.items()}
+        rows = pa.RecordBatch.from_pydict(columns)
+        if packed:
+            pairs = pa.StructArray.from_arrays([data.cast(pa.binary()), samples.cast(pa.int64())], ["packed", "samples"])
+            out.extend(rows, infos, chunks=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs))
+        else:
+            at = np.r_[0, np.cumsum(np.asarray(data.value_lengths()))][ends]
+            out.extend(rows, infos, signal=pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), data.flatten()))
+    counts = {"n_signal_rows": signal.num_rows, "n_run_infos": len(infos), "n_reads": saved, "n_lost": lost, "errors": "; ".join(errors)}
     out.close()
     if cleanup:
         for at in (path, *beside.values()):

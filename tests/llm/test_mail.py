@@ -51,7 +51,8 @@ def test_own_prose():
     )
     assert mail.own_prose(wrap(body)) == TEXT + "\n\nLast paragraph."
     assert mail.own_prose(wrap("Mine.\n\n-----Original Message-----\nFrom: x\n\nNot mine.")) == "Mine."
-    assert mail.own_prose(wrap("Please treat this mail as private to X. If it reached you by mistake, tell the sender.")) == ""
+    mine = "I sent you the wrong spreadsheet by mistake on Monday, so please delete it and use the new one."
+    assert mail.own_prose(wrap(mine + "\n\nThe old one was confidential.")) == mine + "\n\nThe old one was confidential."
     assert mail.own_prose(wrap("<p>Dear Q,</p><p>Mine <b>too</b>.</p><p>&gt; quoted</p>", "Content-Type: text/html")) == "Mine too."
 
 

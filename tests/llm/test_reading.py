@@ -22,6 +22,28 @@ def test_levels_in_spite_of_rating_errors(spark):
     assert got == truth
 
 
+def test_disclaimers_are_told_by_the_mails_they_close(spark):
+    notice = "Nobody but the addressee may read these lines, whatever they say. Thirty words of it stand below many mails."
+    mine = "I sent you the wrong spreadsheet by mistake on Monday, so please delete it and keep the new one confidential."
+    texts = [f"From: x\n\n{mail(k % 4 + 1).split(chr(10) * 2)[2]}\n\n{notice}" for k in range(5)]
+    texts += [f"From: x\n\nThe same {'word ' * 60}\n\nIts only copy closes like this."] * 4  # copies of one mail
+    texts += [f"From: x\n\n{'word ' * 60}\n\n{mine}", f"From: x\n\n{notice}", f"From: x\n\n{notice}\n\n{'more ' * 60}", "From: x\n\nshort", None, ""]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    none = reading.usable_labels(spark.createDataFrame([], "doc_id bigint, reading_level int, rater string"))
+    got = {r.doc_id: r.text for r in reading.prose(df, none).collect()}
+    assert all("addressee" not in got[k] for k in range(5)) and all(got[k].endswith("closes like this.") for k in range(5, 9))
+    assert got[9].endswith("new one confidential.") and got[11].startswith("Nobody") and [got[k] for k in (10, 12, 13, 14)] == [None] * 4
+    assert sorted(got) == list(range(15))
+
+
+def test_every_word_of_the_labelled_texts_is_in_the_model(spark):
+    df = spark.createDataFrame([(k, f"From: x\n\n{'word ' * 50} only{chr(97 + k // 26)}{chr(97 + k % 26)}", "en") for k in range(300)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, 1 + k % 3, "r") for k in range(0, 300, 2)] + [(9999, 4, "r")], "doc_id bigint, reading_level int, rater string")
+    place, likely, prior = reading.train(reading.prose(df, reading.usable_labels(labels)))
+    assert set(place) == {"word", *(f"only{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(0, 300, 2))} and likely.shape == (152, 4)
+    assert abs(prior - __import__("numpy").log([51 / 154, 51 / 154, 51 / 154, 1 / 154])).max() < 1e-9
+
+
 def test_without_labels_and_empty(spark):
     df = spark.createDataFrame([(k, mail(k % 4 + 1), "en") for k in range(200)], "doc_id bigint, text string, lang string")
     none = spark.createDataFrame([], "doc_id bigint, reading_level int, rater string")

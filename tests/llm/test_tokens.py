@@ -38,6 +38,16 @@ def test_round_trip_empty_tables_and_repeated_rows(spark):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def test_decoding_in_blocks(spark, encoding):
+    texts = [t for t in TEXTS if t] * 3
+    ids = [(k, encoding.encode_ordinary(t)) for k, t in enumerate(texts)] + [(900, []), (901, None), (902, [-5, 10**8])]
+    df = spark.createDataFrame(ids, "doc_id bigint, ids array<int>").repartition(3)
+    for size in (tokens.BLOCK_IDS, 7, 200):
+        got = {r.doc_id: r.text for r in tokens.decode(df, block_ids=size).collect()}
+        assert got == dict(enumerate(texts)) | {900: "", 901: "", 902: ""}
+    assert tokens.decode(df.limit(0)).count() == 0
+
+
 def test_only_texts_without_words(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "")], "doc_id bigint, text string").coalesce(1)
     assert sorted((r.doc_id or 0, list(r.ids)) for r in tokens.encode(df).collect()) == [(0, []), (1, []), (2, [])]

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from compare import plain
 
 SF = "/root/testdata/sf0.001"
-CORE = {name: f for part in entry._PARTS[:2] for name, f in part.queries().items()}
+CORE = {name: f for part in entry._PARTS[:3] for name, f in part.queries().items()}
 
 
 @pytest.fixture(scope="module")
