@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import canonical, uuid_bin
@@ -87,16 +89,29 @@ def filter_ids(reads: DataFrame, ids: DataFrame, missing_ok: bool = False, key:
 READS_A_FILE = 400_000
 
 
-def routed_for_writing(routed: DataFrame, reads_a_file: int = READS_A_FILE) -> DataFrame:
+def routed_for_writing(routed: DataFrame, reads_a_file: int = READS_A_FILE, order: list[str] | None = None) -> DataFrame:
     """One output in one partition and after the other, so a task holds one open file at a time.
 
+    order names where rows stood, in files, their batches and places in these: an output then holds its rows in that order.
     An output of more than reads_a_file rows becomes as many containers as it fills, numbered before the extension
     (x.container: x-00000.container and so on), so that no output is written by one task however large it is."""
     sizes = checkpoint(routed.groupBy("dest").agg(F.count(F.lit(1)).alias("_n"))).select(F.col("dest").alias("_dest"), F.ceil(F.col("_n") / reads_a_file).cast("int").alias("_of"))
     large = sizes.filter("_of > 1")
     if not large.isEmpty():
         split = routed.join(broadcast_if_small(large), F.col("dest").eqNullSafe(F.col("_dest")), "left")
-        number = F.format_string("-%05d", F.pmod(F.monotonically_increasing_id(), F.col("_of")))
+        if order:
+            # a place in the output: the rows of the batches before it, few counts each, and those before it in its own batch
+            batch = ["dest", *order[:-1]]
+            counts = routed.groupBy(*batch).agg(F.count(F.lit(1)).alias("_k"))
+            before = F.sum("_k").over(Window.partitionBy("dest").orderBy(*order[:-1])) - F.col("_k")
+            begins = checkpoint(counts.select(*[F.col(c).alias(f"_b{k}") for k, c in enumerate(batch)], before.alias("_before")))
+            same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(batch)])
+            split = split.withColumn("_in", F.row_number().over(Window.partitionBy(*batch).orderBy(order[-1])) - 1)
+            split = split.join(broadcast_if_small(begins), same).drop(*[f"_b{k}" for k in range(len(batch))])
+            part = F.floor((F.col("_before") + F.col("_in")) / reads_a_file).cast("long")
+        else:
+            part = F.pmod(F.monotonically_increasing_id(), F.col("_of"))
+        number = F.format_string("-%05d", part)
         stem, ending = F.regexp_extract("dest", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("dest", r"^(.*?)(\.[^./]*)?$", 2)
-        routed = split.withColumn("dest", F.when(F.col("_of").isNull(), F.col("dest")).otherwise(F.concat(stem, number, ending))).drop("_dest", "_of")
-    return repartitioned(routed, "dest").sortWithinPartitions("dest")
+        routed = split.withColumn("dest", F.when(F.col("_of").isNull(), F.col("dest")).otherwise(F.concat(stem, number, ending))).drop("_dest", "_of", "_in", "_before")
+    return repartitioned(routed, "dest").sortWithinPartitions("dest", *(order or []))

@@ -458,12 +458,16 @@ class ReadStore:
 
 
 def write(rows: DataFrame, path: str, overwrite: bool = False, **options: str) -> None:
-    """Writes rows (as complete() gives them, further columns but dest left aside) as containers into a folder."""
+    """Writes rows (as complete() gives them, further columns but dest left aside) as containers into a folder.
+
+    With dest, rows that say where they stood (_file, _batch, _row) stand in that order in each output."""
     from ..operators.route import routed_for_writing
 
     register(rows.sparkSession)
     known = {*_parts(READS), "chunks", "info", "dest"}
-    rows = rows.select(*[c for c in rows.columns if c in known])
+    place = ["_file", "_batch", "_row"]
+    order = place if {"dest", *place} <= set(rows.columns) else []
+    rows = rows.select(*[c for c in rows.columns if c in known], *order)
     if "dest" in rows.columns:
-        rows = routed_for_writing(rows)
+        rows = routed_for_writing(rows, order=order).drop(*order)
     rows.write.format("signal_container").options(**options).mode("overwrite" if overwrite else "append").save(path)

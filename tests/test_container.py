@@ -263,3 +263,27 @@ def test_repacker_and_differences(spark, tmp_path):
     assert not os.path.exists(tmp_path / "twice.container")
     with pytest.raises(FileExistsError):
         Repacker(spark).add_output(f"{tmp_path}/a.container")
+
+
+def test_copies_keep_the_order_of_reads(spark, tmp_path):
+    from strandlake.operators.route import routed_for_writing
+    from strandlake.sources.repack import differences
+
+    file = form.ContainerFile(f"{tmp_path}/a.container", reads_batch=40)
+    for k in range(300):  # each id ten times
+        file.add(read(k % 30, read_number=k), INFO, np.full(k % 7, k, np.int16))
+    file.close()
+    store, place = ReadStore(spark, f"{tmp_path}/a.container"), ["_file", "_batch", "_row"]
+    write(store.complete().withColumn("dest", F.lit("a.container")), f"{tmp_path}/again")
+    again = ReadStore(spark, f"{tmp_path}/again")
+    assert [r.read_number for r in again.table("reads").orderBy(*place).collect()] == list(range(300))
+    assert differences(store, again).count() == 0
+    # outputs beyond what a container takes are cut in that order too, and no part holds more
+    to = F.when(F.col("read_number") < 20, "few.container").when(F.col("read_number") % 2 == 0, "even.container").otherwise("odd.container")
+    routed = routed_for_writing(store.table("reads", ["read_number", *place]).withColumn("dest", to), 70, place)
+    assert set(routed.columns) == {"read_number", *place, "dest"}
+    parts = {}
+    for r in routed.collect():
+        parts.setdefault(r.dest, []).append(r.read_number)
+    even, odd = list(range(20, 300, 2)), list(range(21, 300, 2))
+    assert parts == {"few.container": list(range(20)), "even-00000.container": even[:70], "even-00001.container": even[70:], "odd-00000.container": odd[:70], "odd-00001.container": odd[70:]}
