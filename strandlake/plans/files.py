@@ -97,7 +97,7 @@ _PAIRS = "coalesce((SELECT string_agg(e.key || '=' || e.value, ';' ORDER BY e.ke
 coalesce(i.sample_rate, 0) AS sample_rate, {', '.join(f"coalesce(i.{c}, '') AS {c}" for c in _TEXTS)}, {_PAIRS('context_tags')}, {_PAIRS('tracking_id')} FROM infos WHERE acquisition IN (SELECT {_ACQ('run_info')} FROM kept)""")
 def store_run_info(spark, sf):
     info = stored(spark, sf).run_info().drop("_file", "_batch", "_row")
-    pairs = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias(c)
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias(c)
     ms = lambda c: F.unix_millis(c)
     plain = info.select("acquisition_id", ms("acquisition_start_time").alias("acquisition_ms"), ms("protocol_start_time").alias("protocol_ms"), "adc_max", "adc_min", "sample_rate", *_TEXTS, pairs("context_tags"), pairs("tracking_id"))
     return plain.distinct()  # each file holds those of its reads

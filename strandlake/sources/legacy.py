@@ -84,7 +84,8 @@ def convert(spark: SparkSession, paths: list[str], args) -> None:
                     continue
                 for row in rows:
                     for c in ("acquisition_start_time", "protocol_start_time"):
-                        row["info"][c] = pd.to_datetime(row["info"][c] or 0, utc=True, errors="coerce")
+                        at = pd.to_datetime(row["info"][c] or 0, utc=True, errors="coerce")
+                        row["info"][c] = pd.Timestamp(0, tz="UTC") if pd.isna(at) else at
                 yield pd.DataFrame([{c: r.get(c) for c in columns} for r in rows], columns=columns)
 
     single = None if args.one_to_one else os.path.basename(args.output) if not os.path.isdir(args.output) else "output.container"

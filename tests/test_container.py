@@ -287,3 +287,19 @@ def test_copies_keep_the_order_of_reads(spark, tmp_path):
         parts.setdefault(r.dest, []).append(r.read_number)
     even, odd = list(range(20, 300, 2)), list(range(21, 300, 2))
     assert parts == {"few.container": list(range(20)), "even-00000.container": even[:70], "even-00001.container": even[70:], "odd-00000.container": odd[:70], "odd-00001.container": odd[70:]}
+
+
+def test_unknown_times_stay_null(spark, tmp_path):
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    file = form.ContainerFile(f"{tmp_path}/a.container")
+    for k, at in enumerate([None, epoch]):
+        file.add(read(k, run_info=f"a{k}"), INFO | {"acquisition_id": f"a{k}", "protocol_start_time": at})
+    file.close()
+    store = ReadStore(spark, f"{tmp_path}/a.container")
+    write(store.complete().withColumn("dest", F.lit("a.container")), f"{tmp_path}/again")
+    for found in (store, ReadStore(spark, f"{tmp_path}/again")):
+        times = found.run_info().select("acquisition_id", F.unix_millis("acquisition_start_time"), F.unix_millis("protocol_start_time"))
+        assert rows(times) == [("a0", 1557745903000, None), ("a1", 1557745903000, 0)]
+    # the place of a null holds 0, as readers that know of no nulls take it
+    opened = pa.ipc.open_file(form.table_file(f := form.open_random(f"{tmp_path}/a.container"), form.parse_footer(f).tables[form.RUN_INFO]))
+    assert np.frombuffer(opened.get_batch(0).column("protocol_start_time").buffers()[1], np.int64)[0] == 0
