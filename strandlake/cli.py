@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.ids import is_strict_uuid, uuid_bin, uuid_str
-from .functions.records import fixed
+from .functions.records import fixed, printed
 from .operators import aggregate, merge, route, select, view
 from .session import local_session
 from .sources import mapping, recovery
@@ -33,7 +33,7 @@ def _writable(path: str, force: bool, inputs: list[str] = ()) -> str:
 def _print(rows: DataFrame, separator: str = "\t", header: bool = True) -> None:
     if header:
         print(separator.join(rows.columns))
-    texts = rows.select(*[fixed(c, 8).alias(c) if kind in ("float", "double") else F.col(c).cast("string").alias(c) for c, kind in rows.dtypes])
+    texts = rows.select(*[printed(c, 8).alias(c) if kind in ("float", "double") else F.col(c).cast("string").alias(c) for c, kind in rows.dtypes])
     for row in texts.toLocalIterator():
         print(separator.join("" if x is None else x for x in row))
 

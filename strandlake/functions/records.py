@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,22 @@ def fixed(number: Column | str, digits: int) -> Column:
     return F.when(number.isNotNull(), F.format_string(f"%.{digits}f", number))
 
 
+@cache
+def _printing(digits: int):
+    form = f"%.{digits}f"
+
+    def run(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "NaN" if x != x else form % x for x in numbers.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
+def printed(number: Column | str, digits: int) -> Column:
+    """A number as text with so many digits behind the point, as printf gives it: of the exact binary value, ties to the even
+    digit, where Spark's format_string rounds the shortest decimal number up. NaN, inf and -inf; null for null."""
+    return _printing(digits)(_col(number).cast("double"))
+
+
 def not_set(text: Column | str) -> Column:
     """'not_set' for an empty text; null stays null."""
     text = _col(text)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import uuid_str
 from ..functions.keys import acquisition_key
-from ..functions.records import fixed, not_set
-from ..session import broadcast_if_small, checkpoint
+from ..functions.records import not_set, printed
+from ..session import broadcast_if_small, checkpoint, ship
 
 
 class Field(NamedTuple):
@@ -143,6 +143,7 @@ def list_fields(spark) -> DataFrame:
 
 def write_view(out: DataFrame, path: str, separator: str = "\t", header: bool = True, force: bool = False) -> None:
     """Text files of a view: null as empty text, floats with 8 digits; an existing path needs force."""
-    texts = [fixed(c, 8).alias(c) if kind in ("float", "double") else F.col(c).cast("string").alias(c) for c, kind in out.dtypes]
+    ship(out.sparkSession)
+    texts = [printed(c, 8).alias(c) if kind in ("float", "double") else F.col(c).cast("string").alias(c) for c, kind in out.dtypes]
     separator = codecs.decode(separator, "unicode_escape")
     out.select(*texts).write.mode("overwrite" if force else "error").csv(path, sep=separator, header=header, nullValue="", emptyValue="")

@@ -114,3 +114,23 @@ def test_codec_in_spark(spark):
     assert got == {1: [1, -5, 32767], 2: []}
     assert df.filter("s IS NULL").select(codec.vbz_encode("s")).first()[0] is None
     assert spark.sql(f"SELECT uuid_str(uuid_bin('{ID.upper()}'))").first()[0] == ID
+
+
+def test_printed_as_printf_does(spark):
+    numbers = [186.923828125, 186.923828145, -302.384765625, 0.001953125, 0.005859375, 123456789.123, 1e30, 5e-9, 1.5e-8, -0.0, -1e-12, 0.0, 1e300, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(numbers)], "k int, x double")
+    texts = [r.t for r in df.select("k", records.printed("x", 8).alias("t")).orderBy("k").collect()]
+    assert texts[:5] == ["186.92382812", "186.92382814", "-302.38476562", "0.00195312", "0.00585938"]
+    assert texts[5:13] == [f"{x:.8f}" for x in numbers[5:13]] and texts[13:] == ["NaN", "inf", "-inf", None]
+    assert one(spark, records.printed(F.lit(0.0625), 3), records.printed(F.lit(186.25).cast("float"), 1), records.printed(F.lit(7), 2)) == ["0.062", "186.2", "7.00"]
+
+
+def test_views_are_written_as_printf_does(spark, tmp_path, capsys):
+    from strandlake import cli
+    from strandlake.operators import view
+
+    df = spark.createDataFrame([("a", 186.923828125, None)], "name string, level float, none float").coalesce(1)
+    view.write_view(df, f"{tmp_path}/v")
+    cli._print(df)
+    text = "".join(p.read_text() for p in (tmp_path / "v").glob("*.csv"))
+    assert text == capsys.readouterr().out == "name\tlevel\tnone\na\t186.92382812\t\n"
